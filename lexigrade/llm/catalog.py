@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrade.llm import decontaminate, feistel
+from lexigrade.llm import decontaminate, feistel, toxicity
 from lexigrade.llm.jaccard_join import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.sharded(_table(spark, sf_dir, "documents"))
 
 
+def op8_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return toxicity.scored(documents, toxicity.train(documents, _table(spark, sf_dir, "labels")))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +36,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op5_feistel_sharding": op5_feistel_sharding,
+    "op8_multiple_instance_toxicity": op8_multiple_instance_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
