@@ -1,10 +1,11 @@
 """One packed shuffle that tells rows which of their 64-bit keys other rows hold.
 
 A row here is a document, a key a fingerprint of one of its windows.  Map tasks
-emit one Arrow row per (flush, bucket) that packs thousands of postings, so the
-shuffle carries about ten bytes a posting.  A key that several rows of a flush
-hold is sent once: a key that a third of all rows hold costs one posting a flush,
-not one a row, and no task gathers all its holders.
+emit one Arrow row per (flush, bucket) that packs thousands of postings grouped by
+row, five bytes of key each; the bucket holds the key's leading bits.  Only those
+bits of a key count, 40 and log2(buckets); ``leading`` cuts a key so.  A key that
+several rows of a flush hold is sent once: a key that a third of all rows hold costs
+one posting a flush, not one a row, and no task gathers all its holders.
 
 Two questions can be asked of a key:
 
@@ -24,15 +25,36 @@ U64 = np.uint64
 #: Postings that a map task holds before it packs and emits them.
 FLUSH = 1_500_000
 
-_PACKED = "bucket int, known boolean, ids binary, at binary, keys binary, many binary, info binary"
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("ids", pa.binary()), ("at", pa.binary()), ("keys", pa.binary()), ("many", pa.binary()), ("info", pa.binary())])
-_ANSWER = "id long, keys binary, info binary"
-_ANSWER_SCHEMA = pa.schema([("id", pa.int64()), ("keys", pa.binary()), ("info", pa.binary())])
+_PACKED = "bucket int, known boolean, ids binary, counts binary, keys binary, many binary, info binary"
+_SCHEMA = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("many", pa.binary()), ("info", pa.binary())])
+_ANSWER = "id long, cells array<binary>, info binary"
+_ANSWER_SCHEMA = pa.schema([("id", pa.int64()), ("cells", pa.list_(pa.binary())), ("info", pa.binary())])
 
 #: (ids of the rows, info of the rows or None, row of each key, keys; none twice in a row for ``shared``)
 Held = tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]
 
 
+def leading(keys: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The bits of 64-bit keys that the exchange compares, as small numbers."""
+    return keys >> U64(24 - (n_buckets.bit_length() - 1))
+
+
+def _short(keys: np.ndarray) -> bytes:
+    """The low five bytes of each key."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _long(packed: bytes, bucket: int) -> np.ndarray:
+    out = np.zeros((len(packed) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.view(U64).ravel() | U64(bucket) << U64(40)
+
+
+def unpacked(cells: list[bytes]) -> np.ndarray:
+    """The keys of an id's answer cells: a cell is a bucket's number and short keys."""
+    return np.concatenate([np.zeros(0, U64), *(_long(c[4:], int.from_bytes(c[:4], "little")) for c in cells)])
+
+
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     first = np.ones(len(sorted_keys), dtype=bool)
     first[1:] = sorted_keys[1:] != sorted_keys[:-1]
@@ -45,7 +67,7 @@ def _pack(held: list[Held], n_buckets: int, ask: str) -> pa.RecordBatch:
     ids = np.concatenate([h[0] for h in held])
     info = np.concatenate([h[1] for h in held]) if held[0][1] is not None else None
     row = np.concatenate([h[2] + b for h, b in zip(held, base, strict=False)]).astype(np.int64)
-    keys = np.concatenate([h[3] for h in held])
+    keys = leading(np.concatenate([h[3] for h in held]), n_buckets)
     order = np.argsort(keys)
     keys, row = keys[order], row[order]
     start = _runs(keys)
@@ -61,32 +83,41 @@ def _pack(held: list[Held], n_buckets: int, ask: str) -> pa.RecordBatch:
         many = np.zeros(len(asked), bool)
     out = []
     k, r = keys[asked], row[asked]
-    bucket = (((k >> U64(32)) * U64(n_buckets)) >> U64(32)).astype(np.int64)
-    edge = np.searchsorted(bucket, np.arange(n_buckets + 1))
+    edge = np.searchsorted(k, np.arange(n_buckets + 1, dtype=U64) << U64(40))
     for b in np.flatnonzero(np.diff(edge)):
-        s = slice(edge[b], edge[b + 1])
-        some, at = np.unique(r[s], return_inverse=True)
-        wide = np.uint16 if len(some) < 1 << 16 else np.uint32
-        out.append((int(b), False, ids[some].tobytes(), at.astype(wide).tobytes(), k[s].tobytes(), np.packbits(many[s]).tobytes() if ask == "shared" else b"", b""))
+        s = np.arange(edge[b], edge[b + 1])
+        s = s[np.argsort(r[s], kind="stable")]
+        some, counts = np.unique(r[s], return_counts=True)
+        out.append((int(b), False, ids[some].tobytes(), counts.astype(np.uint32).tobytes(), _short(k[s]), np.packbits(many[s]).tobytes() if ask == "shared" else b"", b""))
     told = np.flatnonzero(told)
     if info is not None or len(told):
-        some, at = (np.arange(len(ids)), row[told]) if info is not None else np.unique(row[told], return_inverse=True)
+        told = told[np.argsort(row[told], kind="stable")]
+        some = np.arange(len(ids)) if info is not None else np.unique(row[told])
+        counts = np.bincount(row[told], minlength=len(ids))[some]
         spread = int(ids[0]) * 2654435761 % n_buckets
-        out.append((spread, True, ids[some].tobytes(), at.astype(np.uint32).tobytes(), keys[told].tobytes(), b"", info.tobytes() if info is not None else b""))
+        out.append((spread, True, ids[some].tobytes(), counts.astype(np.uint32).tobytes(), keys[told].tobytes(), b"", info.tobytes() if info is not None else b""))
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA) if out else pa.RecordBatch.from_pylist([], schema=_SCHEMA)
 
 
-def _by_row(at: np.ndarray, keys: np.ndarray, n: int) -> list[bytes]:
-    order = np.argsort(at, kind="stable")
-    edge = np.searchsorted(at[order], np.arange(n + 1))
-    keys = keys[order]
-    return [keys[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+def _cells(keys: np.ndarray, counts: np.ndarray) -> list[list[bytes]]:
+    """Answer cells of whole keys that are grouped by row."""
+    out = []
+    for k in np.split(keys, np.cumsum(counts)[:-1]):
+        k = np.sort(k)
+        bucket = (k >> U64(40)).astype(np.uint32)
+        out.append([x[:1].astype("<u4").tobytes() + _short(y) for x, y in ((bucket[a:z], k[a:z]) for a, z in _spans(bucket))])
+    return out
+
+
+def _spans(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    start = _runs(sorted_values)
+    return list(zip(start.tolist(), np.append(start[1:], len(sorted_values)).tolist(), strict=True)) if len(start) else []
 
 
 def ask_all(df: DataFrame, hold: Callable[[pa.RecordBatch], Iterator[Held]], n_buckets: int, ask: str, info_width: int = 0) -> DataFrame:
-    """(id, keys, info) rows; an id's keys of which the answer is yes are the union of its rows.
+    """(id, cells, info) rows; an id's keys of which the answer is yes are the union of its rows.
 
-    ``hold`` turns an Arrow batch into keys.  With ``info_width`` > 0 each row's info (that
+    ``n_buckets`` is a power of two up to 2^20; ``hold`` turns an Arrow batch into keys.  With ``info_width`` > 0 each row's info (that
     many int64s) comes back on exactly one of its answers, also where it has no such key.
     """
 
@@ -102,20 +133,19 @@ def ask_all(df: DataFrame, hold: Callable[[pa.RecordBatch], Iterator[Held]], n_b
             yield _pack(held, n_buckets, ask)
 
     def answered(table: pa.Table) -> pa.Table:
-        ids, keys, owner, many = [], [], [], []
+        keys, owner, many = [], [], []
         answers: list[tuple] = []
-        for known, i, a, k, m, info in zip(*(table.column(c).to_pylist() for c in ("known", "ids", "at", "keys", "many", "info")), strict=True):
-            i, k = np.frombuffer(i, np.int64), np.frombuffer(k, U64)
+        for bucket, known, i, c, k, m, info in zip(*(table.column(n).to_pylist() for n in _SCHEMA.names), strict=True):
+            i, c = np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)
             if known:
-                cells = _by_row(np.frombuffer(a, np.uint32), k, len(i))
                 width = 8 * info_width
-                answers += [(x, c, info[j * width : (j + 1) * width] if width else None) for j, (x, c) in enumerate(zip(i.tolist(), cells, strict=True))]
-            elif len(k):
-                a = np.frombuffer(a, np.uint16 if len(a) == 2 * len(k) else np.uint32)
-                owner.append(i[a])
-                keys.append(k)
+                for j, (x, cells) in enumerate(zip(i.tolist(), _cells(np.frombuffer(k, U64), c), strict=True)):
+                    answers.append((x, cells, info[j * width : (j + 1) * width] if width else None))
+            else:
+                keys.append(_long(k, bucket))
+                owner.append(np.repeat(i, c))
                 if ask == "shared":
-                    many.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)).astype(bool))
+                    many.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(k) // 5).astype(bool))
         if keys:
             k, o = np.concatenate(keys), np.concatenate(owner)
             order = np.argsort(k)
@@ -123,12 +153,14 @@ def ask_all(df: DataFrame, hold: Callable[[pa.RecordBatch], Iterator[Held]], n_b
             start = _runs(k)
             size = np.diff(np.append(start, len(k)))
             if ask == "shared":
-                m = np.concatenate(many)[order]
-                yes = ~m & np.repeat(size > 1, size)
+                yes = ~np.concatenate(many)[order] & np.repeat(size > 1, size)
             else:
                 yes = o > np.repeat(np.minimum.reduceat(o, start), size)
-            some, at = np.unique(o[yes], return_inverse=True)
-            answers += [(x, c, None) for x, c in zip(some.tolist(), _by_row(at, k[yes], len(some)), strict=True)]
+            k, o = k[yes], o[yes]
+            order = np.argsort(o, kind="stable")
+            k, o = k[order], o[order]
+            head = int(table.column("bucket")[0].as_py()).to_bytes(4, "little")
+            answers += [(int(o[a]), [head + _short(k[a:z])], None) for a, z in _spans(o)]
         columns = list(zip(*answers, strict=True)) or [(), (), ()]
         return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _ANSWER_SCHEMA, strict=True)], schema=_ANSWER_SCHEMA)
 
@@ -136,5 +168,5 @@ def ask_all(df: DataFrame, hold: Callable[[pa.RecordBatch], Iterator[Held]], n_b
 
 
 def merged(answers: DataFrame) -> DataFrame:
-    """One row per id: its keys in a list of packed cells, and its info."""
-    return answers.groupBy("id").agg(F.collect_list("keys").alias("cells"), F.max("info").alias("info"))
+    """One row per id: its keys in a list of packed cells (see ``unpacked``), and its info."""
+    return answers.groupBy("id").agg(F.flatten(F.collect_list("cells")).alias("cells"), F.max("info").alias("info"))

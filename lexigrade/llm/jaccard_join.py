@@ -20,8 +20,9 @@ least ``percent`` / 100; the operator returns each document's connected componen
    reach the overlap isn't verified.  All links between components are found, so the
    components are those of the full join.
 
-A pair's intersection is counted on 64-bit hashes; two different shingles of a pair
-of sets of 10^4 agree with a chance of 10^-11.
+A pair's intersection is counted on the bits that the exchange keeps, 46 for 64 buckets
+and one more for each doubling of the input: two different shingles of a pair of sets of
+1,000 agree with a chance of 10^-8.
 
 Cases: null and empty texts and texts without words have n_shingles 0 and link with
 nothing; a text of fewer words than a shingle is one shingle; a null id is kept, its
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexigrade.llm import hashing as H
 from lexigrade.llm.components import components
-from lexigrade.llm.exchange import ask_all, merged
+from lexigrade.llm.exchange import ask_all, merged, unpacked
 from lexigrade.llm.scratch import Scratch, buckets, free_shuffles
 
 _INFO = 4  # doc_id, whether it is null, set size, order-free set hash
@@ -89,7 +90,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rid, doc_id, n, set_hash, tokens) of merged answers; tokens packed and sorted."""
     for b in batches:
         info = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64).reshape(-1, _INFO)
-        cells = [b"".join(x) for x in b.column(1).to_pylist()]
+        cells = [np.sort(unpacked(x)).tobytes() for x in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array(info[:, 0], mask=info[:, 1] == 1), pa.array(info[:, 2]), pa.array(info[:, 3]), pa.array(cells, pa.binary()), pa.array([len(x) // 8 for x in cells], pa.int64())],
             names=["rid", "doc_id", "n", "set_hash", "tokens", "n_shared"],
@@ -162,6 +163,22 @@ def _links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``documents(doc_id, text)``."""
+    return _joined(documents, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(documents: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of documents, all columns, without those that a kept row stands for.
+
+    A component keeps its row of the smallest id (of repeated ones the first).  Rows
+    without words or id stand for themselves.
+    """
+    rows = documents.withColumn("_rid", F.monotonically_increasing_id())
+    gone = _joined(documents, width, percent).where("not kept").select(F.col("rid").alias("_rid"))
+    return rows.join(gone, "_rid", "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))
+
+
+def _joined(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """(rid, doc_id, n_shingles, component_id, kept); rid numbers the rows as they are read."""
     spark = documents.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -201,9 +218,10 @@ def near_duplicates(documents: DataFrame, *, width: int = 5, percent: int = 80)
     all_links = scratch.save(first_links.union(_links(pairs, firsts, percent)), "links")
     final = components(all_links, scratch)
 
-    named = sets.join(final.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(lowest, "component").select(*key, "component_id")
-    rest = docs.where((F.col("n") == 0) | F.col("doc_id").isNull() | (100 * F.col("n_shared") < percent * F.col("n")))
-    rest = rest.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rest.union(alive.select("doc_id", *key).join(named, key).select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+    named = sets.withColumnRenamed("rid", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = named.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("low"))
+    named = named.join(lowest, "component").select(*key, F.col("low.doc_id").alias("component_id"), F.col("low.node").alias("keeper"))
+    lone = (F.col("n") == 0) | F.col("doc_id").isNull() | (100 * F.col("n_shared") < percent * F.col("n"))
+    rest = docs.where(lone).select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    grouped = alive.select("rid", "doc_id", *key).join(named, key)
+    return rest.union(grouped.select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("rid") == F.col("keeper")).alias("kept")))

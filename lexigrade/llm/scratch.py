@@ -46,13 +46,16 @@ class Scratch:
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of plans that no reference holds."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # references of the driver's Python go first, then those they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def buckets(df: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """How many hash buckets keep each one to about ``bytes_each`` of stored input.
+    """A power of two of hash buckets that keeps each one to about ``bytes_each`` of stored input.
 
     Follows the size of the input as Spark's planner knows it, so a bucket's share
     of postings stays the same at every scale; never fewer than shuffle partitions.
@@ -60,4 +63,4 @@ def buckets(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(least, min(size // bytes_each + 1, 1 << 20))
+    return 1 << (max(least, min(size // bytes_each + 1, 1 << 20)) - 1).bit_length()
