@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrade.llm import cover_tree, decontaminate, feistel, mixing, perspectives, pii, toxicity
+from lexigrade.llm import cover_tree, decontaminate, feistel, fingerprint_index, mixing, perspectives, pii, suffix_dedup, toxicity
 from lexigrade.llm.jaccard_join import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_log_structured_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_index.deduplicated(_table(spark, sf_dir, "documents"))
+
+
+def op3_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(_table(spark, sf_dir, "documents"))
+
+
 def op4_boosted_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +65,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_log_structured_dedup": op2_log_structured_dedup,
+    "op3_difference_cover_dedup": op3_difference_cover_dedup,
     "op4_boosted_personal_data": op4_boosted_personal_data,
     "op5_feistel_sharding": op5_feistel_sharding,
     "op6_cover_tree_near_dedup": op6_cover_tree_near_dedup,
@@ -68,6 +78,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_log_structured_dedup": fingerprint_index.ORACLE_SQL,
     "op6_cover_tree_near_dedup": cover_tree.ORACLE_SQL,
     "op7_perspective_rotation": perspectives.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
