@@ -8,8 +8,7 @@ toxic documents than in clean ones, and an L1 step keeps those few that are need
 
 Training takes at most ``most`` labelled documents of each label, those of the least
 hash of their id among rows whose crc32(id) mod 5 isn't 0, so the sample is the same
-in every run; its bound is a parameter and a file of features reaches the driver, no
-texts.  Scoring covers every row and the whole text in a constant number of NumPy
+in every run; its bound is a parameter, and features reach the driver, no texts.  Scoring covers every row and the whole text in a constant number of NumPy
 passes; the model (at most ``vocabulary`` words) goes along with the tasks.
 
 Cases: null and empty texts and texts without words score the model's score of an
@@ -29,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lexigrade.llm import hashing as H
+from lexigrade.llm.scratch import Scratch
 
 #: Bytes that end a sentence, and bytes that aren't part of a word.
 ENDS = np.zeros(256, dtype=bool)
@@ -115,73 +115,91 @@ def scores(column: pa.Array, model: Model) -> np.ndarray:
     return np.clip(noisy_or(sentence_logits(hashes, at, len(row), model), row, len(column), model.bias), 0.0, 1.0)
 
 
-def fit(bags: list[list[np.ndarray]], labels: np.ndarray, *, least_documents: int = 3, lift: float = 3.0, vocabulary: int = 50_000, rounds: int = 600, rate: float = 0.1, l1: float = 3e-5) -> Model:
-    """Weights from documents given as lists of sentences of feature hashes."""
-    if not len(labels) or labels.min() == labels.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
-    doc_of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    flat = [np.unique(s) for b in bags for s in b]
-    sentence = np.repeat(np.arange(len(flat)), [len(s) for s in flat])
-    word, inverse = np.unique(np.concatenate(flat), return_inverse=True)
+def fit(column: np.ndarray, sentence: np.ndarray, doc_of: np.ndarray, labels: np.ndarray, n_features: int, *, rounds: int = 600, rate: float = 0.1, l1: float = 3e-5) -> tuple[np.ndarray, float]:
+    """(weights, bias) from the features of sentences (pairs of column and sentence), the
+    document of each sentence and the labels of the documents."""
     y = labels.astype(float)
-    pairs = np.unique(inverse.astype(np.int64) * len(bags) + doc_of[sentence])
-    held = np.bincount(pairs // len(bags), minlength=len(word))
-    toxic = np.bincount(pairs // len(bags), weights=y[pairs % len(bags)], minlength=len(word))
-    odds = (toxic + 0.2) / y.sum() / ((held - toxic + 0.2) / (1 - y).sum())
-    often = np.flatnonzero((toxic >= least_documents) & (odds >= lift))
-    often = np.sort(often[np.argsort(-toxic[often], kind="stable")[:vocabulary]])
-    place = np.full(len(word), -1)
-    place[often] = np.arange(len(often))
-    keep = place[inverse] >= 0
-    column, sentence = place[inverse][keep], sentence[keep]
     share = 1 / len(y)
-    weights, bias = np.zeros(len(often)), -7.0
-    m, v = np.zeros(len(often) + 1), np.zeros(len(often) + 1)
+    weights, bias = np.zeros(n_features), -7.0
+    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for turn in range(1, rounds + 1):
-        z = np.bincount(sentence, weights=weights[column], minlength=len(flat)) + bias
-        miss = np.bincount(doc_of, weights=np.logaddexp(0, z), minlength=len(bags))
+        z = np.bincount(sentence, weights=weights[column], minlength=len(doc_of)) + bias
+        miss = np.bincount(doc_of, weights=np.logaddexp(0, z), minlength=len(y))
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         lost = np.exp(-miss)
         pull = np.where(y == 1, -lost / np.maximum(1 - lost, 1e-6), 1.0) * share
         g = pull[doc_of] * p
-        grad = np.append(np.bincount(column, weights=g[sentence], minlength=len(often)) + l1, g.sum())
+        grad = np.append(np.bincount(column, weights=g[sentence], minlength=n_features) + l1, g.sum())
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         step = rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-5)
         weights = np.maximum(weights - step[:-1], 0)
         bias = bias - step[-1]
-    used = np.flatnonzero(weights > 0.05)
-    return Model(word[often[used]], weights[used], float(bias))
+    return weights, float(bias)
 
 
 def _fold(doc: int | None) -> int | None:
     return None if doc is None else zlib.crc32(str(doc).encode()) % FOLDS
 
 
-def train(documents: DataFrame, labels: DataFrame, *, most: int = 2500, **options) -> Model:
-    """The model of a bounded sample of the labelled rows outside the held-out fold."""
+def train(documents: DataFrame, labels: DataFrame, *, most: int = 2500, least_documents: int = 3, lift: float = 3.0, vocabulary: int = 20_000) -> Model:
+    """The model of a bounded sample of the labelled rows outside the held-out fold.
+
+    Executors count in how many toxic and clean documents of the sample a feature occurs;
+    the ``vocabulary`` most frequent ones with enough lift reach the driver, and then the
+    sentences of the sample as numbers of those features.
+    """
+    spark = documents.sparkSession
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     marks = marks.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     sample = marks.where("toxic = 1").orderBy(*order).limit(most).union(marks.where("toxic = 0").orderBy(*order).limit(most))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = Scratch(spark, "toxicity").save(texts.select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]), "sample")
+    totals = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    if len(totals) < 2:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
 
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in H.slices(b, "text"):
                 hashes, at, row, _, _ = sentences(part.column(1))
-                edge = np.searchsorted(row[at] if len(at) else row, np.arange(part.num_rows + 1))
-                cells = [(hashes[a:z].tobytes(), (at[a:z] - (at[a] if z > a else 0)).astype(np.int32).tobytes()) for a, z in zip(edge[:-1], edge[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["doc_id", "toxic", "words", "at"])
-
-    rows = texts.select("doc_id", "text", "toxic").mapInArrow(mapped, "doc_id long, toxic int, words binary, at binary").collect()
-    one = {r.doc_id: r for r in sorted(rows, key=lambda r: (r.doc_id, bytes(r.words)))}  # repeated rows train once
-    bags, marks_ = [], []
-    for doc in sorted(one):
-        words, at = np.frombuffer(one[doc].words, np.uint64), np.frombuffer(one[doc].at, np.int32)
-        bags.append([x.ravel() for x in np.split(words.reshape(-1, 1 + len(BEGINNINGS)), np.flatnonzero(np.diff(at)) + 1)])
-        marks_.append(one[doc].toxic)
-    return fit(bags, np.array(marks_), **options)
+                order = np.lexsort((hashes.ravel(), np.repeat(row[at], hashes.shape[1])))
+                owner, value = np.repeat(row[at], hashes.shape[1])[order], hashes.ravel()[order]
+                new = np.ones(len(value), dtype=bool)
+                new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+                feature, inverse, n = np.unique(value[new], return_inverse=True, return_counts=True)
+                toxic = np.bincount(inverse, weights=part.column(2).to_numpy()[owner[new]], minlength=len(feature))
+                yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), pa.array(n), pa.array(toxic.astype(np.int64))], names=["feature", "n", "toxic"])
+
+    seen = texts.mapInArrow(counted, "feature long, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    odds = ((F.col("toxic") + 0.2) / totals[1]) / ((F.col("n") - F.col("toxic") + 0.2) / totals[0])
+    chosen = seen.where(F.col("toxic") >= least_documents).where(odds >= lift).orderBy(F.desc("toxic"), "feature").limit(vocabulary)
+    words = np.sort(np.array([r.feature for r in chosen.select("feature").collect()], np.int64).view(np.uint64))
+    if not len(words):
+        return Model(words, np.zeros(0), -7.0)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in H.slices(b, "text"):
+                hashes, at, row, _, _ = sentences(part.column(1))
+                place = np.minimum(np.searchsorted(words, hashes.ravel()), len(words) - 1)
+                known = np.flatnonzero(words[place] == hashes.ravel())
+                once = np.unique(at[known // hashes.shape[1]] * len(words) + place[known])
+                sentence, column = once // len(words), once % len(words)
+                first = np.searchsorted(row, np.arange(part.num_rows + 1))
+                edge = np.searchsorted(sentence, first)
+                cells = [(column[a:z].astype(np.int32).tobytes(), (sentence[a:z] - f).astype(np.int32).tobytes()) for a, z, f in zip(edge[:-1], edge[1:], first[:-1], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(first)), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["doc_id", "toxic", "n", "columns", "sentences"])
+
+    rows = sorted(texts.mapInArrow(numbered, "doc_id long, toxic int, n long, columns binary, sentences binary").collect(), key=lambda r: r.doc_id)
+    sizes = np.array([r.n for r in rows], np.int64)
+    first = np.cumsum(sizes) - sizes
+    column = np.concatenate([np.frombuffer(r.columns, np.int32) for r in rows])
+    sentence = np.concatenate([np.frombuffer(r.sentences, np.int32) + f for r, f in zip(rows, first, strict=True)])
+    weights, bias = fit(column, sentence, np.repeat(np.arange(len(rows)), sizes), np.array([r.toxic for r in rows]), len(words))
+    used = np.flatnonzero(weights > 0.05)
+    return Model(words[used], weights[used], bias)
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
