@@ -3,14 +3,15 @@
 A row here is a document, a key a fingerprint of one of its windows.  Map tasks
 emit one Arrow row per (flush, bucket) that packs thousands of postings grouped by
 row, five bytes of key each; the bucket holds the key's leading bits.  Only those
-bits of a key count, 40 and log2(buckets); ``leading`` cuts a key so.  A key that
-several rows of a flush hold is sent once: a key that a third of all rows hold costs
-one posting a flush, not one a row, and no task gathers all its holders.
+bits of a key count, 40 and log2(buckets); a second hash of the window may add 24 more
+to them, then a posting has eight bytes.  A key that several rows of a flush hold is
+sent once: a key that a third of all rows hold costs one posting a flush, not one a
+row, and no task gathers all its holders.
 
 Two questions can be asked of a key:
 
 ``shared``   does any other row hold it?
-``earlier``  does a row with a smaller id hold it?
+``earlier``  does a row with a smaller id hold it, or a run of keys seen before?
 """
 
 from __future__ import annotations
@@ -24,35 +25,66 @@ from pyspark.sql import DataFrame, functions as F
 U64 = np.uint64
 #: Postings that a map task holds before it packs and emits them.
 FLUSH = 1_500_000
+#: Kinds of packed rows: keys to ask about, keys whose answer is known, keys of an older run.
+POSTED, KNOWN, RUN = 0, 1, 2
 
-_PACKED = "bucket int, known boolean, ids binary, counts binary, keys binary, many binary, info binary"
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("many", pa.binary()), ("info", pa.binary())])
-_ANSWER = "id long, cells array<binary>, info binary"
-_ANSWER_SCHEMA = pa.schema([("id", pa.int64()), ("cells", pa.list_(pa.binary())), ("info", pa.binary())])
+PACKED = "bucket int, kind int, ids binary, counts binary, keys binary, many binary, info binary"
+_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("many", pa.binary()), ("info", pa.binary())])
+ANSWER = "part int, ids binary, sizes binary, cells binary, info binary, bucket int, run binary"
+_ANSWER_SCHEMA = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("cells", pa.binary()), ("info", pa.binary()), ("bucket", pa.int32()), ("run", pa.binary())])
 
-#: (ids of the rows, info of the rows or None, row of each key, keys; none twice in a row for ``shared``)
-Held = tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]
+#: (ids of the rows, info of the rows or None, row of each key, keys, second hashes or None)
+Held = tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray, np.ndarray | None]
 
 
-def leading(keys: np.ndarray, n_buckets: int) -> np.ndarray:
-    """The bits of 64-bit keys that the exchange compares, as small numbers."""
-    return keys >> U64(24 - (n_buckets.bit_length() - 1))
+def split(keys: np.ndarray, check: np.ndarray | None, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, rest) of 64-bit keys: all that the exchange compares of them."""
+    bits = U64(n_buckets.bit_length() - 1)
+    rest = (keys << bits) >> U64(24)
+    if check is not None:
+        rest = rest << U64(24) | check >> U64(40)
+    return (keys >> (U64(64) - bits)).astype(np.int64), rest
 
 
-def _short(keys: np.ndarray) -> bytes:
-    """The low five bytes of each key."""
-    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _short(rest: np.ndarray, width: int) -> bytes:
+    """The low bytes of each key."""
+    return np.ascontiguousarray(rest).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _long(packed: bytes, bucket: int) -> np.ndarray:
-    out = np.zeros((len(packed) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-    return out.view(U64).ravel() | U64(bucket) << U64(40)
+def _long(packed: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(packed) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
+    return out.view(U64).ravel()
 
 
-def unpacked(cells: list[bytes]) -> np.ndarray:
-    """The keys of an id's answer cells: a cell is a bucket's number and short keys."""
-    return np.concatenate([np.zeros(0, U64), *(_long(c[4:], int.from_bytes(c[:4], "little")) for c in cells)])
+def _planes(rest: np.ndarray, width: int) -> bytes:
+    """Sorted keys byte by byte, which leaves little of the leading bytes once compressed."""
+    return np.ascontiguousarray(np.ascontiguousarray(rest).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(packed: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(packed) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(packed, np.uint8).reshape(width, -1).T
+    return out.view(U64).ravel()
+
+
+def _cells(told: bytes) -> list[bytes]:
+    """Cells that stand one after another, each after its size."""
+    out, at = [], 0
+    while at < len(told):
+        size = int.from_bytes(told[at : at + 4], "little")
+        out.append(told[at + 4 : at + 4 + size])
+        at += 4 + size
+    return out
+
+
+def unpacked(cells: bytes | None, width: int = 5) -> np.ndarray:
+    """The keys in an id's answer cells; with five bytes, the bucket in front of each."""
+    parts = [np.zeros(0, U64)]
+    for c in _cells(cells or b""):
+        rest = _long(c[4:], width)
+        parts.append(rest | U64(int.from_bytes(c[:4], "little")) << U64(40) if width == 5 else rest)
+    return np.concatenate(parts)
 
 
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
@@ -61,65 +93,67 @@ def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
+def _spans(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    start = _runs(sorted_values)
+    return list(zip(start.tolist(), np.append(start[1:], len(sorted_values)).tolist(), strict=True)) if len(start) else []
+
+
 def _pack(held: list[Held], n_buckets: int, ask: str) -> pa.RecordBatch:
-    """A row for each bucket with the postings to ask about, and one with what is known."""
+    """Rows with the postings to ask about, a bucket each, and with what is known already."""
     base = np.cumsum([0] + [len(h[0]) for h in held])
     ids = np.concatenate([h[0] for h in held])
     info = np.concatenate([h[1] for h in held]) if held[0][1] is not None else None
-    row = np.concatenate([h[2] + b for h, b in zip(held, base, strict=False)]).astype(np.int64)
-    keys = leading(np.concatenate([h[3] for h in held]), n_buckets)
-    order = np.argsort(keys)
-    keys, row = keys[order], row[order]
-    start = _runs(keys)
-    size = np.diff(np.append(start, len(keys)))
-    if ask == "shared":
-        asked, many = start, size > 1
-        told = np.repeat(many, size)
-    else:
-        least = np.minimum.reduceat(ids[row], start) if len(start) else np.zeros(0, np.int64)
-        told = ids[row] > np.repeat(least, size)
-        place = np.arange(len(keys))
-        asked = np.minimum.reduceat(np.where(told, len(keys), place), start) if len(start) else start
-        many = np.zeros(len(asked), bool)
-    out = []
-    k, r = keys[asked], row[asked]
-    edge = np.searchsorted(k, np.arange(n_buckets + 1, dtype=U64) << U64(40))
+    row = np.concatenate([h[2] + b for h, b in zip(held, base, strict=False)]).astype(np.int32)
+    check = np.concatenate([h[4] for h in held]) if held[0][4] is not None else None
+    width = 5 if check is None else 8
+    bucket, rest = split(np.concatenate([h[3] for h in held]), check, n_buckets)
+    deal = np.argsort(bucket.astype(np.uint16 if n_buckets <= 1 << 16 else np.uint32), kind="stable")
+    edge = np.searchsorted(bucket[deal], np.arange(n_buckets + 1))
+    out, known_row, known_cell = [], [], []
     for b in np.flatnonzero(np.diff(edge)):
-        s = np.arange(edge[b], edge[b + 1])
-        s = s[np.argsort(r[s], kind="stable")]
-        some, counts = np.unique(r[s], return_counts=True)
-        out.append((int(b), False, ids[some].tobytes(), counts.astype(np.uint32).tobytes(), _short(k[s]), np.packbits(many[s]).tobytes() if ask == "shared" else b"", b""))
-    told = np.flatnonzero(told)
-    if info is not None or len(told):
-        told = told[np.argsort(row[told], kind="stable")]
-        some = np.arange(len(ids)) if info is not None else np.unique(row[told])
-        counts = np.bincount(row[told], minlength=len(ids))[some]
+        some = deal[edge[b] : edge[b + 1]]
+        order = some[np.argsort(rest[some], kind="stable")]
+        k, r = rest[order], row[order]
+        fresh = np.ones(len(k), dtype=bool)  # a key that a row holds twice counts once
+        fresh[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+        k, r = k[fresh], r[fresh]
+        start = _runs(k)
+        size = np.diff(np.append(start, len(k)))
+        if ask == "shared":
+            asked, many = start, size > 1
+            told = np.repeat(many, size)
+        else:
+            told = ids[r] > np.repeat(np.minimum.reduceat(ids[r], start), size)
+            asked, many = np.minimum.reduceat(np.where(told, len(k), np.arange(len(k))), start), None
+        by_row = np.argsort(r[asked], kind="stable")
+        holder, counts = np.unique(r[asked], return_counts=True)
+        marks = np.packbits(many[by_row]).tobytes() if many is not None else b""
+        out.append((int(b), POSTED, ids[holder].tobytes(), counts.astype(np.uint32).tobytes(), _short(k[asked][by_row], width), marks, b""))
+        if told.any():
+            k, r = k[told], r[told]
+            by_row = np.argsort(r, kind="stable")
+            k, r = k[by_row], r[by_row]
+            head = int(b).to_bytes(4, "little")
+            for a, z in _spans(r):
+                known_row.append(int(r[a]))
+                known_cell.append(head + _short(k[a:z], width))
+    if info is not None or known_row:
+        cells: dict[int, list[bytes]] = {}
+        for r, c in zip(known_row, known_cell, strict=True):
+            cells.setdefault(r, []).append(len(c).to_bytes(4, "little") + c)
+        some = np.arange(len(ids)) if info is not None else np.array(sorted(cells))
+        told = [b"".join(cells.get(r, ())) for r in some.tolist()]
         spread = int(ids[0]) * 2654435761 % n_buckets
-        out.append((spread, True, ids[some].tobytes(), counts.astype(np.uint32).tobytes(), keys[told].tobytes(), b"", info.tobytes() if info is not None else b""))
+        out.append((spread, KNOWN, ids[some].tobytes(), np.array([len(c) for c in told], np.uint32).tobytes(), b"".join(told), b"", info.tobytes() if info is not None else b""))
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA) if out else pa.RecordBatch.from_pylist([], schema=_SCHEMA)
 
 
-def _cells(keys: np.ndarray, counts: np.ndarray) -> list[list[bytes]]:
-    """Answer cells of whole keys that are grouped by row."""
-    out = []
-    for k in np.split(keys, np.cumsum(counts)[:-1]):
-        k = np.sort(k)
-        bucket = (k >> U64(40)).astype(np.uint32)
-        out.append([x[:1].astype("<u4").tobytes() + _short(y) for x, y in ((bucket[a:z], k[a:z]) for a, z in _spans(bucket))])
-    return out
-
-
-def _spans(sorted_values: np.ndarray) -> list[tuple[int, int]]:
-    start = _runs(sorted_values)
-    return list(zip(start.tolist(), np.append(start[1:], len(sorted_values)).tolist(), strict=True)) if len(start) else []
-
+def _parts(ids: np.ndarray, n: int) -> np.ndarray:
+    return ((ids.view(U64) * U64(0x9E3779B97F4A7C15) >> U64(40)) % U64(n)).astype(np.int64)
 
-def ask_all(df: DataFrame, hold: Callable[[pa.RecordBatch], Iterator[Held]], n_buckets: int, ask: str, info_width: int = 0) -> DataFrame:
-    """(id, cells, info) rows; an id's keys of which the answer is yes are the union of its rows.
 
-    ``n_buckets`` is a power of two up to 2^20; ``hold`` turns an Arrow batch into keys.  With ``info_width`` > 0 each row's info (that
-    many int64s) comes back on exactly one of its answers, also where it has no such key.
-    """
+def packed(df: DataFrame, hold: Callable[[pa.RecordBatch], Iterator[Held]], n_buckets: int, ask: str) -> DataFrame:
+    """Rows of ``PACKED``; ``n_buckets`` is a power of two over 1, ``hold`` turns a batch into keys."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Held] = []
@@ -132,20 +166,40 @@ def ask_all(df: DataFrame, hold: Callable[[pa.RecordBatch], Iterator[Held]], n_b
         if sum(len(h[0]) for h in held):
             yield _pack(held, n_buckets, ask)
 
-    def answered(table: pa.Table) -> pa.Table:
-        keys, owner, many = [], [], []
+    return df.mapInArrow(mapped, PACKED)
+
+
+def answered(rows: DataFrame, ask: str, n_parts: int, *, width: int = 5, info_width: int = 0, make_run: bool = False) -> DataFrame:
+    """``ANSWER`` rows of packed ones: keys of which the answer is yes, many ids to a row.
+
+    Ids are dealt into ``n_parts``; ``merged`` brings an id's answers together.  With ``make_run`` a bucket's keys that no older run holds come back as a sorted run.
+    """
+
+    def reduce(table: pa.Table) -> pa.Table:
+        keys, owner, many, older = [], [], [], [np.zeros(0, U64)]
         answers: list[tuple] = []
-        for bucket, known, i, c, k, m, info in zip(*(table.column(n).to_pylist() for n in _SCHEMA.names), strict=True):
+
+        def answer(ids: np.ndarray, told: list[bytes], info: np.ndarray | None) -> None:
+            part = _parts(ids, n_parts)
+            order = np.argsort(part, kind="stable")
+            for a, z in _spans(part[order]):
+                some = order[a:z]
+                sizes = np.array([len(told[j]) for j in some.tolist()], np.uint32)
+                answers.append((int(part[some[0]]), ids[some].tobytes(), sizes.tobytes(), b"".join(told[j] for j in some.tolist()), b"" if info is None else info[some].tobytes(), None, None))
+
+        for _, kind, i, c, k, m, info in zip(*(table.column(n).to_pylist() for n in _SCHEMA.names), strict=True):
+            if kind == RUN:
+                older.append(_from_planes(k, width))
+                continue
             i, c = np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)
-            if known:
-                width = 8 * info_width
-                for j, (x, cells) in enumerate(zip(i.tolist(), _cells(np.frombuffer(k, U64), c), strict=True)):
-                    answers.append((x, cells, info[j * width : (j + 1) * width] if width else None))
+            if kind == KNOWN:
+                edge = [0, *np.cumsum(c).tolist()]
+                answer(i, [k[a:z] for a, z in zip(edge, edge[1:], strict=False)], np.frombuffer(info, np.int64).reshape(len(i), -1) if info_width else None)
             else:
-                keys.append(_long(k, bucket))
+                keys.append(_long(k, width))
                 owner.append(np.repeat(i, c))
                 if ask == "shared":
-                    many.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(k) // 5).astype(bool))
+                    many.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(k) // width).astype(bool))
         if keys:
             k, o = np.concatenate(keys), np.concatenate(owner)
             order = np.argsort(k)
@@ -155,18 +209,57 @@ def ask_all(df: DataFrame, hold: Callable[[pa.RecordBatch], Iterator[Held]], n_b
             if ask == "shared":
                 yes = ~np.concatenate(many)[order] & np.repeat(size > 1, size)
             else:
-                yes = o > np.repeat(np.minimum.reduceat(o, start), size)
+                before = np.concatenate(older)
+                seen = np.isin(k[start], before, assume_unique=True) if len(before) else np.zeros(len(start), bool)
+                yes = (o > np.repeat(np.minimum.reduceat(o, start), size)) | np.repeat(seen, size)
+            bucket = table.column("bucket")[0].as_py()
+            if make_run:
+                answers.append((None, None, None, None, None, bucket, _planes(k[start][~seen], width)))
             k, o = k[yes], o[yes]
             order = np.argsort(o, kind="stable")
             k, o = k[order], o[order]
-            head = int(table.column("bucket")[0].as_py()).to_bytes(4, "little")
-            answers += [(int(o[a]), [head + _short(k[a:z])], None) for a, z in _spans(o)]
-        columns = list(zip(*answers, strict=True)) or [(), (), ()]
+            head = bucket.to_bytes(4, "little")
+            each = _spans(o)
+            if each:
+                told = [(4 + width * (z - a)).to_bytes(4, "little") + head + _short(k[a:z], width) for a, z in each]
+                answer(o[[a for a, _ in each]], told, None)
+        columns = list(zip(*answers, strict=True)) or [()] * 7
         return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _ANSWER_SCHEMA, strict=True)], schema=_ANSWER_SCHEMA)
 
-    return df.mapInArrow(mapped, _PACKED).groupBy("bucket").applyInArrow(answered, _ANSWER)
+    return rows.groupBy("bucket").applyInArrow(reduce, ANSWER)
+
+
+def compacted(runs: DataFrame, width: int) -> DataFrame:
+    """(bucket, run): one sorted run a bucket of the disjoint runs (bucket, run)."""
+
+    def reduce(table: pa.Table) -> pa.Table:
+        keys = np.sort(np.concatenate([_from_planes(r, width) for r in table.column("run").to_pylist()]))
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "run": pa.array([_planes(keys, width)], pa.binary())})
+
+    return runs.groupBy("bucket").applyInArrow(reduce, "bucket int, run binary")
+
+
+def as_packed(runs: DataFrame) -> DataFrame:
+    """Runs as rows of ``PACKED``, to be asked about together with new postings."""
+    none = F.lit(b"")
+    return runs.select("bucket", F.lit(RUN).alias("kind"), none.alias("ids"), none.alias("counts"), F.col("run").alias("keys"), none.alias("many"), none.alias("info"))
+
+
+def merged(answers: DataFrame, info_width: int = 0) -> DataFrame:
+    """(id, cells, info): one row per id, its keys in packed cells (see ``unpacked``)."""
+    schema = pa.schema([("id", pa.int64()), ("cells", pa.binary()), ("info", pa.binary())])
 
+    def reduce(table: pa.Table) -> pa.Table:
+        told: dict[int, list[bytes]] = {}
+        infos: dict[int, bytes] = {}
+        for i, s, c, info in zip(*(table.column(n).to_pylist() for n in ("ids", "sizes", "cells", "info")), strict=True):
+            at = 0
+            for j, (x, size) in enumerate(zip(np.frombuffer(i, np.int64).tolist(), np.frombuffer(s, np.uint32).tolist(), strict=True)):
+                told.setdefault(x, []).append(c[at : at + size])
+                at += size
+                if info:
+                    infos[x] = info[8 * info_width * j : 8 * info_width * (j + 1)]
+        ids = sorted(told)
+        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array([b"".join(told[x]) for x in ids], pa.binary()), pa.array([infos.get(x) for x in ids], pa.binary())], schema=schema)
 
-def merged(answers: DataFrame) -> DataFrame:
-    """One row per id: its keys in a list of packed cells (see ``unpacked``), and its info."""
-    return answers.groupBy("id").agg(F.flatten(F.collect_list("cells")).alias("cells"), F.max("info").alias("info"))
+    return answers.where("part is not null").groupBy("part").applyInArrow(reduce, "id long, cells binary, info binary")

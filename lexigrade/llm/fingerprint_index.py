@@ -59,7 +59,7 @@ class FingerprintIndex:
         return self.spark.read.schema("bucket int, run binary").parquet(self.scratch.paths[name])
 
     def add(self, batch: DataFrame, *, last: bool = False) -> DataFrame:
-        """(id, cells) of ``batch(id, text)``: windows that a smaller id or an older batch holds.
+        """Packed answers on ``batch(id, text)``: windows that a smaller id or an older batch holds.
 
         The last batch's hashes needn't be kept if nothing is to follow.
         """
@@ -75,7 +75,7 @@ class FingerprintIndex:
             rows = rows.union(X.as_packed(self._run(name)))
         self.batches += 1
         name = f"batch{self.batches}"
-        found = self.scratch.save(X.answered(rows, "earlier", width=8, make_run=not last), name)
+        found = self.scratch.save(X.answered(rows, "earlier", n_buckets, width=8, make_run=not last), name)
         del rows
         free_shuffles(self.spark)
         if not last:
@@ -83,7 +83,7 @@ class FingerprintIndex:
             self.runs.append(f"run{self.batches}")
             if len(self.runs) > self.fan:
                 self.compact()
-        return found.where("id is not null").select("id", "cells")
+        return found
 
     def compact(self) -> None:
         """Merge all runs into one; what they held stays, their files go."""
@@ -118,7 +118,7 @@ def deduplicated(documents: DataFrame, *, width: int = 13, batches: int = 2, tex
     every = answers[0]
     for one in answers[1:]:
         every = every.union(one)
-    told = every.groupBy("id").agg(F.flatten(F.collect_list("cells")).alias("cells"))
+    told = X.merged(every).select("id", "cells")
 
     def cleaned(b: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in b:

@@ -13,12 +13,17 @@ least ``percent`` / 100; the operator returns each document's connected componen
    tokens; two sets that link share l tokens of their l-prefixes, for the smaller of
    their l.  Each class lengthens its prefix as long as the estimated cost falls:
    postings times their frequency, plus verification of at most 1/l of those pairs.
-4. One round links each class to the leader it shares most prefix tokens with, so a
-   large group of near copies falls together along a star, not in all pairs.
-5. The second round counts prefix matches only of pairs that aren't yet in one
-   component.  A pair whose matches plus the longer remainder of the two sets can't
-   reach the overlap isn't verified.  All links between components are found, so the
-   components are those of the full join.
+4. A first round compares each class only with the leader it shares most prefix tokens
+   with, so a large group of near copies falls together as a tree, not in all pairs.
+   A leader has fewer private tokens than its followers, so trees have no cycles, and two
+   hops up a tree give a class its group.
+5. The second round counts prefix matches only of pairs from different groups.  A pair
+   whose shared tokens, or whose matches plus the longer remainder of the two sets, can't
+   reach the overlap isn't verified.  Rare tokens are joined with themselves.  For tokens
+   of over ``_HOT`` classes, blocks of ``_BLOCK`` classes with their whole prefixes meet in
+   one task, which counts all matches of a pair at once and returns only pairs to verify.
+   All links between groups are found, so the components of the groups are those of the
+   full join.
 
 A pair's intersection is counted on the bits that the exchange keeps, 46 for 64 buckets
 and one more for each doubling of the input: two different shingles of a pair of sets of
@@ -41,9 +46,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexigrade.llm import hashing as H
 from lexigrade.llm.components import components
-from lexigrade.llm.exchange import ask_all, merged, unpacked
+from lexigrade.llm.exchange import answered, merged, packed, unpacked
 from lexigrade.llm.scratch import Scratch, buckets, free_shuffles
 
+#: Classes from which a token is joined by blocks, and classes in a block.
+_HOT, _BLOCK = 48, 2048
 _INFO = 4  # doc_id, whether it is null, set size, order-free set hash
 
 
@@ -81,7 +88,7 @@ def _holder(width: int):
             np.add.at(total, row, H.mix(keys + np.uint64(17)))
             ids = part.column(1)
             info = np.stack([ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), n, total.view(np.int64)], axis=1)
-            yield part.column(0).to_numpy(), info.astype(np.int64), row, keys
+            yield part.column(0).to_numpy(), info.astype(np.int64), row, keys, None
 
     return hold
 
@@ -155,6 +162,42 @@ def _verified(percent: int):
     return mapped
 
 
+def _block_pairs(percent: int):
+    """Pairs to verify between two blocks of classes that hold one frequent token."""
+
+    def reduce(table: pa.Table) -> pa.Table:
+        rid, n, rest, most, group, block = (table.column(c).to_numpy() for c in ("rid", "n", "rest", "most", "group", "block"))
+        prefix = table.column("prefix").combine_chunks()
+        holder = np.repeat(np.arange(len(rid)), np.diff(prefix.offsets.to_numpy()))
+        _, token, held = np.unique(prefix.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        name = np.cumsum(held > 1) - 1
+        keep = held[token] > 1
+        holder, token = holder[keep], name[token[keep]]
+        order = np.argsort(token, kind="stable")
+        holder, token = holder[order], token[order]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        both = np.zeros((len(a), len(b)), np.float32)
+        for low in range(0, int(name[-1]) + 1, 1024):
+            some = slice(*np.searchsorted(token, [low, low + 1024]))
+            has = np.zeros((len(rid), 1024), np.float32)
+            has[holder[some], token[some] - low] = 1
+            both += has[a] @ has[b].T
+        us, vs = [], []
+        for k, x in enumerate(a):
+            sum_n = n[x] + n[b]
+            good = (both[k] > 0) & (group[x] != group[b]) & (percent * np.maximum(n[x], n[b]) <= 100 * np.minimum(n[x], n[b]))
+            good &= (100 + percent) * np.minimum(most[x], most[b]) >= percent * sum_n
+            good &= (100 + percent) * (both[k] + np.maximum(rest[x], rest[b])) >= percent * sum_n
+            y = rid[b[good]]
+            y = y[y > rid[x]] if i == j else y
+            us.append(np.minimum(y, rid[x]))
+            vs.append(np.maximum(y, rid[x]))
+        return pa.table({"x": pa.array(np.concatenate(us), pa.int64()), "y": pa.array(np.concatenate(vs), pa.int64())})
+
+    return reduce
+
+
 def _links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     x = classes.select(F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("tokens").alias("tx"))
     y = classes.select(F.col("rid").alias("y"), F.col("n").alias("ny"), F.col("tokens").alias("ty"))
@@ -182,8 +225,9 @@ def _joined(documents: DataFrame, width: int, percent: int) -> DataFrame:
     spark = documents.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    answers = ask_all(rows, _holder(width), buckets(documents), "shared", _INFO)
-    docs = scratch.save(merged(answers).mapInArrow(_unpacked, "rid long, doc_id long, n long, set_hash long, tokens binary, n_shared long"), "docs")
+    n_buckets = buckets(documents)
+    answers = answered(packed(rows, _holder(width), n_buckets, "shared"), "shared", n_buckets, info_width=_INFO)
+    docs = scratch.save(merged(answers, _INFO).mapInArrow(_unpacked, "rid long, doc_id long, n long, set_hash long, tokens binary, n_shared long"), "docs")
     del answers
     free_shuffles(spark)
 
@@ -204,21 +248,35 @@ def _joined(documents: DataFrame, width: int, percent: int) -> DataFrame:
     leaders = leaders.select("token", (-F.col("top.col3")).alias("y"), F.col("top.n").alias("ny"))
     star = postings.join(leaders, "token").where("rid <> y").withColumnsRenamed({"rid": "x", "n": "nx"}).where(sized)
     star = star.groupBy("x", "y").agg(F.count("*").alias("both")).groupBy("x").agg(F.max(F.struct("both", (-F.col("y")).alias("y"))).alias("top")).select("x", (-F.col("top.y")).alias("y"))
-    first_links = scratch.save(_links(star, firsts, percent), "star")
-    first = components(first_links, scratch)
-
-    near = postings.join(first.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    mixed = near.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token")
-    near = scratch.save(near.join(mixed, "token", "left_semi").select("token", "rid", "n", "rest", "component"), "near")
-    x = near.select("token", *(F.col(c).alias(f"{c}x") for c in ("rid", "n", "rest", "component")))
-    y = near.select("token", *(F.col(c).alias(f"{c}y") for c in ("rid", "n", "rest", "component")))
-    pairs = x.join(y, "token").where(f"ridx < ridy and componentx <> componenty and {sized}")
-    pairs = pairs.groupBy(F.col("ridx").alias("x"), F.col("ridy").alias("y")).agg(F.count("*").alias("both"), F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.first(F.greatest("restx", "resty")).alias("rest"))
-    pairs = pairs.where(f"{100 + percent} * (both + rest) >= {percent} * (nx + ny)")
-    all_links = scratch.save(first_links.union(_links(pairs, firsts, percent)), "links")
-    final = components(all_links, scratch)
-
-    named = sets.withColumnRenamed("rid", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tree = scratch.save(_links(star, firsts, percent), "tree")
+    up = tree.select(F.col("u").alias("v"), F.col("v").alias("above"))
+    groups = scratch.save(tree.join(up, "v", "left").select(F.col("u").alias("rid"), F.coalesce("above", "v").alias("group")), "groups")
+
+    near = postings.join(groups, "rid", "left").withColumn("group", F.coalesce("group", "rid"))
+    near = near.select("token", "rid", "n", "rest", (F.col("n") - F.col("private")).alias("most"), "group")
+    mixed = near.groupBy("token").agg(F.min("group").alias("a"), F.max("group").alias("b"), F.count("*").alias("held")).where("a <> b").select("token", "held")
+    near = scratch.save(near.join(mixed, "token"), "near")
+    often = near.where(F.col("held") > _HOT)
+    hot = often.groupBy("rid").agg(F.count("*").alias("hot"))
+    rare = near.where(F.col("held") <= _HOT).join(hot, "rid", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    x, y = (rare.select("token", *(F.col(c).alias(c + side) for c in ("rid", "n", "rest", "most", "group", "hot"))) for side in "xy")
+    within = f"{100 + percent} * least(mostx, mosty) >= {percent} * (nx + ny)"
+    pairs = x.join(y, "token").where(f"ridx < ridy and groupx <> groupy and {sized} and {within}")
+    pairs = pairs.groupBy(F.col("ridx").alias("x"), F.col("ridy").alias("y")).agg(F.count("*").alias("both"), F.first(F.col("nx") + F.col("ny")).alias("sum_n"), F.first(F.greatest("restx", "resty") + F.least("hotx", "hoty")).alias("rest"))
+    pairs = pairs.where(f"{100 + percent} * (both + rest) >= {percent} * sum_n").select("x", "y")
+    whole = postings.join(hot.select("rid"), "rid", "left_semi").groupBy("rid").agg(F.collect_list("token").alias("prefix"))
+    often = often.withColumn("blocks", F.ceil(F.col("held") / _BLOCK)).withColumn("block", F.pmod(F.xxhash64("rid"), "blocks"))
+    often = often.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
+    often = often.join(whole, "rid").select("token", "i", "j", "block", "rid", "n", "rest", "most", "group", "prefix")
+    pairs = pairs.union(often.groupBy("token", "i", "j").applyInArrow(_block_pairs(percent), "x long, y long")).distinct()
+    links = tree.union(_links(pairs, firsts, percent))
+    of = groups.select(F.col("rid"), F.col("group"))
+    links = links.join(of.withColumnsRenamed({"rid": "u", "group": "gu"}), "u", "left").join(of.withColumnsRenamed({"rid": "v", "group": "gv"}), "v", "left")
+    links = links.select(F.coalesce("gu", "u").alias("u"), F.coalesce("gv", "v").alias("v")).where("u <> v").distinct()
+    final = components(links, scratch).withColumnRenamed("node", "group")
+
+    classes = sets.withColumnRenamed("rid", "node").join(groups.withColumnRenamed("rid", "node"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    named = classes.join(final, "group", "left").withColumn("component", F.coalesce("component", "group"))
     lowest = named.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("low"))
     named = named.join(lowest, "component").select(*key, F.col("low.doc_id").alias("component_id"), F.col("low.node").alias("keeper"))
     lone = (F.col("n") == 0) | F.col("doc_id").isNull() | (100 * F.col("n_shared") < percent * F.col("n"))

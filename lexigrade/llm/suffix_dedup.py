@@ -114,7 +114,7 @@ def deduplicated(documents: DataFrame, *, width: int = 50, rounds: int = 2, text
             at, row = sampled(offsets, inside)
             yield part.column(0).to_numpy(), None, row, byte_hashes(_padded(data), at, inside), None
 
-    found = X.answered(X.packed(rows.select("id", "text"), sample, n_buckets, "shared"), "shared")
+    found = X.answered(X.packed(rows.select("id", "text"), sample, n_buckets, "shared"), "shared", n_buckets)
     shared = scratch.save(X.merged(found).select("id", "cells"), "sample")
     del found
     free_shuffles(spark)
@@ -134,14 +134,14 @@ def deduplicated(documents: DataFrame, *, width: int = 50, rounds: int = 2, text
     answers = []
     for turn in range(rounds):
         some = rows.select("id", "text").join(shared, "id")
-        found = X.answered(X.packed(some, suffixes(turn), n_buckets, "earlier"), "earlier", width=8)
-        answers.append(scratch.save(found.where("id is not null").select("id", "cells"), f"bucket{turn}"))
+        found = X.answered(X.packed(some, suffixes(turn), n_buckets, "earlier"), "earlier", n_buckets, width=8)
+        answers.append(scratch.save(found, f"bucket{turn}"))
         del some, found
         free_shuffles(spark)
     every = answers[0]
     for one in answers[1:]:
         every = every.union(one)
-    told = every.groupBy("id").agg(F.flatten(F.collect_list("cells")).alias("cells"))
+    told = X.merged(every).select("id", "cells")
 
     def cleaned(b: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in b:
