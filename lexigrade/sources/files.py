@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -57,9 +58,10 @@ def scan(spark: SparkSession, root: str, *, most: int | None = L.MAX_FILES, max_
     file limit of a workspace; None for a corpus.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    found = found.where(is_scanned(F.col("path")) & (F.col("length") <= max_bytes))
+    inside = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
+    found = found.where(is_scanned(inside) & (F.col("length") <= max_bytes))
     found = found if most is None else found.orderBy("path").limit(most)
-    return found.select("path", language_for_path(F.col("path")).alias("language_id"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return found.select("path", language_for_path(F.col("path")).alias("language_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def load_zipf(spark: SparkSession, path: str) -> DataFrame:
