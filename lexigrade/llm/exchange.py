@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 U64 = np.uint64
 #: Postings that a map task holds before it packs and emits them.
-FLUSH = 1_500_000
+FLUSH = 500_000
 #: Kinds of packed rows: keys to ask about, keys whose answer is known, keys of an older run.
 POSTED, KNOWN, RUN = 0, 1, 2
 

@@ -18,10 +18,8 @@ apart; an empty table gives an empty result; other columns are ignored unless ke
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lexigrade.llm import hashing as H
@@ -81,7 +79,8 @@ def sharded(documents: DataFrame, *, shards: int = 8, seed: int = 20240229, keep
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard), and the columns to keep."""
     scratch = Scratch(documents.sparkSession, "feistel")
     text = F.col("text").cast("string")
-    kept = [c for c in keep or [] if c not in ("doc_id", "size", "text_crc32")]
+    made = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    kept = [c for c in keep or [] if c not in made]
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
@@ -91,16 +90,16 @@ def sharded(documents: DataFrame, *, shards: int = 8, seed: int = 20240229, keep
         *kept,
     )
     rows, n = numbered(rows, ["doc_id", "text_crc32", "_tie", "_nth"], scratch, "_row")
-    names = ["doc_id", "size", "text_crc32"]
-
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = permuted(b.column(b.num_columns - 1).to_numpy(), n, seed)
-            some = [b.column(b.schema.get_field_index(c)) for c in names]
-            more = [b.column(b.schema.get_field_index(c)) for c in kept]
-            columns = [*some, pa.array(["rows"] * b.num_rows, pa.string()), pa.array(p % shards, pa.int32()), pa.array(p // shards, pa.int64()), pa.nulls(b.num_rows, pa.int32()), *more]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "law", "shard", "slot", "grown_shard", *kept])
-
-    kinds = dict(documents.dtypes)
-    schema = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int" + "".join(f", `{c}` {kinds[c]}" for c in kept)
-    return rows.select(*names, *kept, "_row").mapInArrow(mapped, schema)
+    # only the numbers go to Python; texts and other kept columns stay where they are
+    place = F.pandas_udf(lambda r: pd.Series(permuted(r.to_numpy(), n, seed)), "long")
+    rows = rows.withColumn("_at", place("_row"))
+    return rows.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        (F.col("_at") % shards).cast("int").alias("shard"),
+        F.expr(f"_at div {shards}").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        *kept,
+    )

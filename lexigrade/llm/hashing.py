@@ -19,7 +19,7 @@ _LOW = [U64((1 << (8 * k)) - 1) for k in range(8)] + [U64(0xFFFFFFFFFFFFFFFF)]
 _MASK = np.array(_LOW, dtype=U64)
 
 #: Text bytes handled in one NumPy pass; bounds a worker's memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

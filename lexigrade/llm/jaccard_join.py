@@ -215,9 +215,9 @@ def one_of_each(documents: DataFrame, *, width: int = 5, percent: int = 80) -> D
     A component keeps its row of the smallest id (of repeated ones the first).  Rows
     without words or id stand for themselves.
     """
-    rows = documents.withColumn("_rid", F.monotonically_increasing_id())
-    gone = _joined(documents, width, percent).where("not kept").select(F.col("rid").alias("_rid"))
-    return rows.join(gone, "_rid", "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns))
+    rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    gone = _joined(documents, width, percent).where("not kept").select("rid")
+    return rows.join(gone, "rid", "left_anti").select("row.*")
 
 
 def _joined(documents: DataFrame, width: int, percent: int) -> DataFrame:
