@@ -32,7 +32,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents")
+    """Documents; a table of fewer files than cores is spread, as text work is bound by CPU."""
+    docs, cores = _table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
