@@ -139,6 +139,20 @@ def is_license_line(line: str) -> bool:
     return hits.count("x") / len(hits) >= 0.6 or "xxxx" in hits
 
 
+def code(text: str, language: str) -> str:
+    """The text without its comments and strings."""
+    pattern, syntax = scanner(language)
+    out, at = [], 0
+    while found := pattern.search(text, at):
+        start, end = found.span()
+        if found.lastgroup == "block":
+            kind = max((b for b in syntax.block if text.startswith(b[0], start)), key=lambda b: len(b[0]))
+            end = _block_end(text, start, *kind)
+        out.append(text[at:start])
+        at = max(end, start + 1)
+    return " ".join([*out, text[at:]])
+
+
 def _lines(body: str) -> list[str]:
     return [s for s in (re.sub(r"^[\s*]*", "", line).rstrip() for line in body.split("\n")) if s]
 
@@ -272,6 +286,17 @@ def comments_of(files: DataFrame, errors: bool = False) -> DataFrame:
     return out if errors else out.where("error is null").drop("error")
 
 
+def code_of(files: DataFrame) -> DataFrame:
+    """(path, text) of ``files(path, language_id, text)`` without comments and strings."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [code(text or "", language) if language in SYNTAXES else None for language, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["path", "text"])
+
+    return files.select("path", "language_id", "text").mapInArrow(mapped, "path string, text string")
+
+
 def html_comments(html: Column) -> Column:
     """Bodies of the comments of a page, by expression alone."""
     found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?s)<!--.*?(?:-->|\z)"), F.lit(0))

@@ -1,8 +1,9 @@
 """The nine short-text metrics over tagged tokens, as folds in column expressions.
 
 Each takes (tokens, context) and gives struct(value, reason).  A context has the columns
-``identifiers`` and ``vocabulary`` (arrays) and ``zipf``, a function from a word to its
-Zipf frequency or null.  ``METRICS`` is the registry; add to it to extend the scores.
+``identifiers`` and ``vocabulary`` (arrays), ``zipf``, a function from a word to its Zipf
+frequency or null, and ``known``, one from a word to whether a large vocabulary has it.
+``METRICS`` is the registry; add to it to extend the scores.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, functions as F
 
 from lexigrade.functions import lexicons as L
 from lexigrade.functions.identifiers import identifier_words
-from lexigrade.functions.text import js_round, number
+from lexigrade.functions.text import js_round, let, number
 from lexigrade.functions.tokens import is_word
 
 
@@ -29,6 +30,7 @@ class Context:
     identifiers: Column = field(default_factory=_none)
     vocabulary: Column = field(default_factory=_none)
     zipf: Callable[[Column], Column] = lambda word: F.lit(None).cast("double")
+    known: Callable[[Column], Column] = lambda word: F.lit(False)
 
 
 def _result(value: Column, when: Column, reason: Column) -> Column:
@@ -71,8 +73,8 @@ def clause_count(tokens: Column, context: Context) -> Column:
 
 def rated_words(tokens: Column, context: Context) -> Column:
     """Plain words that neither the code nor the workspace uses."""
-    known = F.array_union(identifier_words(context.identifiers), context.vocabulary)
-    return F.filter(tokens, lambda t: is_word(t) & t.normal.rlike(r"^[a-z]+\z") & ~F.array_contains(known, t.normal))
+    names = F.array_union(identifier_words(context.identifiers), context.vocabulary)
+    return let(names, lambda n: F.filter(tokens, lambda t: is_word(t) & t.normal.rlike(r"^[a-z]+\z") & ~F.array_contains(n, t.normal) & ~context.known(t.normal)))
 
 
 def _rated(tokens: Column, context: Context) -> Column:
@@ -151,7 +153,7 @@ def undefined_acronyms(tokens: Column, context: Context) -> Column:
     known = F.transform(F.array_union(identifier_words(context.identifiers), context.vocabulary), F.upper)
     places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
     found = F.transform(places, lambda i: F.struct(i.alias("place"), F.regexp_extract(F.get(tokens, i).text, r"^([A-Z]{2,})s?\z", 1).alias("acronym")))
-    open_ = F.filter(found, lambda f: (f.acronym != "") & ~f.acronym.isin(L.KNOWN_ACRONYMS) & ~F.array_contains(known, f.acronym))
+    open_ = F.filter(found, lambda f: (f.acronym != "") & ~f.acronym.isin(L.KNOWN_ACRONYMS) & ~F.array_contains(known, f.acronym) & ~context.known(F.lower(f.acronym)))
     names = F.array_distinct(F.transform(F.filter(open_, lambda f: ~_defined_in_place(tokens, f.place, f.acronym)), lambda f: f.acronym))
     value = F.size(names)
     return _result(value, value > 0, F.concat(F.when(value > 1, F.lit("Undefined acronyms: ")).otherwise(F.lit("Undefined acronym: ")), F.array_join(names, ", ")))

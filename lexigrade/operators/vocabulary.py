@@ -8,6 +8,8 @@ from lexigrade.functions import lexicons as L
 
 #: A plain word, lower-cased.
 PLAIN = "[a-z]+"
+#: Slots of a lexicon: some three words each at most of the 70,000 that it can hold.
+SLOTS = 1 << 14
 
 
 def plain_words(text: Column) -> Column:
@@ -63,3 +65,25 @@ def rated_words(texts: DataFrame, key: str, vocabulary_: DataFrame, zipf: DataFr
     words = texts.select(key, F.explode(plain_words(F.col(text))).alias("word"))
     unknown = words.join(F.broadcast(vocabulary_.select("word")), "word", "left_anti")
     return unknown.join(F.broadcast(zipf), "word", "left").withColumn("zipf", F.coalesce("zipf", F.lit(L.UNLISTED_ZIPF)))
+
+
+def _slot(word: Column) -> Column:
+    return F.pmod(F.hash(word), F.lit(SLOTS))
+
+
+def lexicon(zipf: DataFrame, vocabulary_: DataFrame) -> Column:
+    """Frequencies and vocabulary as one hash table, for ``entry_of``.
+
+    Both tables are bounded.  The value is a scalar subquery: made once and sent with the
+    stage that reads it, it costs a row a look-up by hash, no shuffle and no copy.
+    """
+    words = zipf.join(vocabulary_.select("word", F.lit(True).alias("known")), "word", "full")
+    entry = F.struct("word", "zipf", F.coalesce("known", F.lit(False)).alias("known"))
+    slots = words.groupBy(_slot(F.col("word")).alias("slot")).agg(F.collect_list(entry).alias("entries"))
+    every = zipf.sparkSession.range(SLOTS).join(slots, F.col("id") == F.col("slot"), "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "entries"))), lambda s: s.entries)).scalar()
+
+
+def entry_of(lexicon_: Column, word: Column) -> Column:
+    """struct(word, zipf, known) of a word, or null."""
+    return F.get(F.filter(F.get(lexicon_, _slot(word)), lambda e: e.word == word), F.lit(0))

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lexigrade.functions.identifiers import vocabulary_words
 from lexigrade.functions.redundancy import redundancy
-from lexigrade.operators.extract import comments_of
+from lexigrade.operators import vocabulary
+from lexigrade.operators.extract import code_of, comments_of
 from lexigrade.operators.metrics import Context
 from lexigrade.operators.normalize import normalized
 from lexigrade.operators.score import scored
 
 
-def scored_comments(files: DataFrame) -> DataFrame:
+def scored_comments(files: DataFrame, zipf: DataFrame | None = None) -> DataFrame:
     """Comments of ``files(path, language_id, text)`` with text, words, score and redundancy.
 
-    Equal comments (text, identifiers and symbol) are scored once and joined back.
+    Words of the files' code are the vocabulary; frequencies are the comments' own unless
+    ``zipf(word, zipf)`` gives others.  Equal comments (text, identifiers and symbol) are
+    scored once and joined back.
     """
     comments = normalized(comments_of(files)).withColumn("known", F.when(F.col("target_symbol").isNull(), F.col("identifiers")).otherwise(F.array_append("identifiers", F.col("target_symbol"))))
+    words = vocabulary.vocabulary(vocabulary.file_words(code_of(files), "path", vocabulary_words(F.col("text"))))
+    lexicon = vocabulary.lexicon(vocabulary.zipf_table(comments) if zipf is None else zipf, words)
     keys = ["text", "known"]
-    once = scored(comments.select(*keys).distinct(), context=Context(identifiers=F.col("known")))
+    once = scored(comments.select(*keys).distinct(), context=Context(identifiers=F.col("known")), lexicon=lexicon)
     return comments.join(once, keys).withColumn("redundancy", redundancy(F.col("text"), F.col("target_symbol")))
