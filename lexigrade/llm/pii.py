@@ -105,8 +105,8 @@ def base_spans(text: str) -> list[Span]:
 # --- candidates beyond the base kinds -------------------------------------------------
 
 _KEYS = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key")
-_ASSIGNED = re.compile(r"(?i:token|secret|password|passwd|api[_-]?key|access_key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/=.-]{6,256})")
-_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{24,128}(?![0-9A-Za-z])")
+_ASSIGNED = re.compile(r"(?i:token|secret|password|passwd|api[_-]?key|access_key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_+/=.-]{6,})")
+_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{24,}(?![0-9A-Za-z])")
 _IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _AT_WORD = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63})+")
@@ -116,7 +116,7 @@ _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4
 def candidates(text: str) -> list[Span]:
     """Spans that may be personal data and may overlap, base kinds not among them."""
     out: list[Span] = []
-    low = text.lower() if any(k[0] in text for k in _KEYS) else text
+    low = text.casefold()  # all that the pattern's case-insensitive letters match
     if any(k in low for k in _KEYS):
         out += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text)]
     if "at)" in text or "at]" in text:

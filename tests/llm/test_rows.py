@@ -154,3 +154,17 @@ def test_pipeline(spark, judged, tmp_path):
     sizes = collections.Counter(r.shard for r in out)
     assert max(sizes.values()) - min(sizes.values()) <= 1
     assert F is not None
+
+
+def test_long_and_capital_secrets_go_whole(spark):
+    r = random.Random(3)
+    made = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    token, key = made("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789_-", 600), made("0123456789abcdef", 300)
+    assert pii.candidates(f"token={token} x") == [("secret", 6, 606)]
+    assert ("secret", 4, 304) in pii.candidates(f"see {key} here")
+    assert pii.candidates("THE PASSWORD=XK29DJ38QQ71ZMPL GOES")[0] == ("secret", 13, 29)
+    assert pii.candidates("paſſword=XK29DJ38QQ71ZMPL")[0] == ("secret", 9, 25)
+    texts = [f"use token={token} now", f"the secret: {key} now", "THE PASSWORD=XK29DJ38QQ71ZMPL GOES"]
+    rows = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
+    got = {x.doc_id: x.text for x in pii.redacted(rows).collect()}
+    assert got == {0: "use token=[SECRET] now", 1: "the secret: [SECRET] now", 2: "THE PASSWORD=[SECRET] GOES"}
