@@ -284,11 +284,10 @@ def debounce(spark, sf_dir):
 
 @_query
 def full_score(spark, sf_dir):
-    """All 13 metrics with the corpus' own word frequencies and its 100 most used words as vocabulary, for English documents."""
-    every = _documents(spark, sf_dir)
-    known = vocabulary.vocabulary(vocabulary.file_words(every, "doc_id", vocabulary.plain_words(F.col("text"))), 100)
-    docs = every.where("lang = 'en'")
-    df = scored(docs.select("doc_id", "text"), lexicon=vocabulary.lexicon(vocabulary.zipf_table(every), known))
+    """All 13 metrics with the corpus' own word frequencies and its 100 most used words as vocabulary, for every document."""
+    docs = _documents(spark, sf_dir)
+    known = vocabulary.vocabulary(vocabulary.file_words(docs, "doc_id", vocabulary.plain_words(F.col("text"))), 100)
+    df = scored(docs.select("doc_id", "text"), lexicon=vocabulary.lexicon(vocabulary.zipf_table(docs), known))
     return df.select("doc_id", "words", "score.score", "score.label", F.array_join("score.reasons", "; ").alias("reasons"), report.lens_title(F.col("score")).alias("title"), F.md5(report.hover_markdown(F.col("score"), F.col("words")).cast("binary")).alias("hover_md5"))
 
 

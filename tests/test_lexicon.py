@@ -24,10 +24,10 @@ def test_lexicon_tells_common_from_rare_words(spark):
 
 def test_full_score_rates_by_the_corpus(spark, tmp_path):
     filler = " ".join(f"{a}{b}" for a in "abcdefghijk" for b in "abcdefghijk")  # more than the vocabulary's 100 words
-    rows = [(k, f"{filler} ledger ledger ledger", "en", "s", 1) for k in range(5)] + [(9, "a quokka naps", "en", "s", 1), (10, "a ledger naps", "en", "s", 1)]
+    rows = [(k, f"{filler} ledger ledger ledger", "en", "s", 1) for k in range(5)] + [(9, "a quokka naps", "en", "s", 1), (10, "a ledger naps", "de", "s", 1), (11, "a ledger naps", None, "s", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in QUERIES["full_score"](spark, str(tmp_path)).collect()}
-    assert len(got) == 7 and got[9].hover_md5 != got[10].hover_md5 and not any("Rare word" in r.reasons for r in got.values())
+    assert len(got) == 8 and got[10].hover_md5 == got[11].hover_md5 and got[9].hover_md5 != got[10].hover_md5 and not any("Rare word" in r.reasons for r in got.values())
 
 
 def test_comments_know_the_words_of_the_code(spark):
