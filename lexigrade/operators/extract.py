@@ -109,7 +109,7 @@ def _target(text: str, end: int, syntax: Syntax) -> str | None:
     """Name of the declaration on the lines after a comment, past decorators and attributes."""
     if not syntax.declaration:
         return None
-    for line in text[end:].split("\n")[1:8]:
+    for line in text[end:].split("\n")[1:]:
         if not line.strip():
             return None
         if re.match(r"\s*(?:@\w|#\[|\[[A-Z])", line):

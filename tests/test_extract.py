@@ -31,6 +31,12 @@ def test_docstrings_and_targets():
     assert comments("/** Adds. */\nexport function addAll(a) {}\n", "typescript")[0]["target_symbol"] == "addAll"
 
 
+def test_targets_behind_many_decorators():
+    marks = "".join(f"@mark{k}\n" for k in range(12))
+    assert comments(f"# Holds state\n{marks}class Box:\n    pass\n", "python")[0]["target_symbol"] == "Box"
+    assert comments(f"# Holds state\n{marks}\nclass Box:\n    pass\n", "python")[0]["target_symbol"] is None
+
+
 def test_failures_are_rows(spark):
     files = spark.createDataFrame([("a.py", "python", "def f(:"), ("b.py", "python", "# fine words here"), ("c.py", "python", None)], "path string, language_id string, text string")
     got = {r.path: r.error for r in comments_of(files, errors=True).collect()}
