@@ -37,10 +37,10 @@ _ANSWER_SCHEMA = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("sizes"
 Held = tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray, np.ndarray | None]
 
 
-def split(keys: np.ndarray, check: np.ndarray | None, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, rest) of 64-bit keys: all that the exchange compares of them."""
+def split(keys: np.ndarray, check: np.ndarray | None, n_buckets: int, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, rest) of 64-bit keys: all that the exchange compares of them; without a check, rest has ``width`` bytes."""
     bits = U64(n_buckets.bit_length() - 1)
-    rest = (keys << bits) >> U64(24)
+    rest = (keys << bits) >> U64(24 if check is not None else 64 - 8 * width)
     if check is not None:
         rest = rest << U64(24) | check >> U64(40)
     return (keys >> (U64(64) - bits)).astype(np.int64), rest
@@ -79,11 +79,11 @@ def _cells(told: bytes) -> list[bytes]:
 
 
 def unpacked(cells: bytes | None, width: int = 5) -> np.ndarray:
-    """The keys in an id's answer cells; with five bytes, the bucket in front of each."""
+    """The keys in an id's answer cells; with less than eight bytes, the bucket in front of each."""
     parts = [np.zeros(0, U64)]
     for c in _cells(cells or b""):
         rest = _long(c[4:], width)
-        parts.append(rest | U64(int.from_bytes(c[:4], "little")) << U64(40) if width == 5 else rest)
+        parts.append(rest | U64(int.from_bytes(c[:4], "little")) << U64(8 * width) if width < 8 else rest)
     return np.concatenate(parts)
 
 
@@ -98,15 +98,21 @@ def _spans(sorted_values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start.tolist(), np.append(start[1:], len(sorted_values)).tolist(), strict=True)) if len(start) else []
 
 
-def _pack(held: list[Held], n_buckets: int, ask: str) -> pa.RecordBatch:
+def _pack(held: list[Held], n_buckets: int, ask: str, short: int) -> pa.RecordBatch:
     """Rows with the postings to ask about, a bucket each, and with what is known already."""
     base = np.cumsum([0] + [len(h[0]) for h in held])
     ids = np.concatenate([h[0] for h in held])
     info = np.concatenate([h[1] for h in held]) if held[0][1] is not None else None
     row = np.concatenate([h[2] + b for h, b in zip(held, base, strict=False)]).astype(np.int32)
     check = np.concatenate([h[4] for h in held]) if held[0][4] is not None else None
-    width = 5 if check is None else 8
-    bucket, rest = split(np.concatenate([h[3] for h in held]), check, n_buckets)
+    width = short if check is None else 8
+    bucket, rest = split(np.concatenate([h[3] for h in held]), check, n_buckets, short)
+    if info is None:  # rows of one id are one holder
+        single, one = np.unique(ids, return_inverse=True)
+        if len(single) < len(ids):
+            ids, row = single, one[row].astype(np.int32)
+            order = np.argsort(row, kind="stable")
+            bucket, rest, row = bucket[order], rest[order], row[order]
     deal = np.argsort(bucket.astype(np.uint16 if n_buckets <= 1 << 16 else np.uint32), kind="stable")
     edge = np.searchsorted(bucket[deal], np.arange(n_buckets + 1))
     out, known_row, known_cell = [], [], []
@@ -152,7 +158,7 @@ def _parts(ids: np.ndarray, n: int) -> np.ndarray:
     return ((ids.view(U64) * U64(0x9E3779B97F4A7C15) >> U64(40)) % U64(n)).astype(np.int64)
 
 
-def packed(df: DataFrame, hold: Callable[[pa.RecordBatch], Iterator[Held]], n_buckets: int, ask: str) -> DataFrame:
+def packed(df: DataFrame, hold: Callable[[pa.RecordBatch], Iterator[Held]], n_buckets: int, ask: str, *, width: int = 5) -> DataFrame:
     """Rows of ``PACKED``; ``n_buckets`` is a power of two over 1, ``hold`` turns a batch into keys."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,18 +167,19 @@ def packed(df: DataFrame, hold: Callable[[pa.RecordBatch], Iterator[Held]], n_bu
             for part in hold(batch):
                 held.append(part)
                 if sum(len(h[3]) for h in held) >= FLUSH:
-                    yield _pack(held, n_buckets, ask)
+                    yield _pack(held, n_buckets, ask, width)
                     held = []
         if sum(len(h[0]) for h in held):
-            yield _pack(held, n_buckets, ask)
+            yield _pack(held, n_buckets, ask, width)
 
     return df.mapInArrow(mapped, PACKED)
 
 
-def answered(rows: DataFrame, ask: str, n_parts: int, *, width: int = 5, info_width: int = 0, make_run: bool = False) -> DataFrame:
+def answered(rows: DataFrame, ask: str, n_parts: int, *, width: int = 5, info_width: int = 0, make_run: bool = False, often: int | None = None) -> DataFrame:
     """``ANSWER`` rows of packed ones: keys of which the answer is yes, many ids to a row.
 
     Ids are dealt into ``n_parts``; ``merged`` brings an id's answers together.  With ``make_run`` a bucket's keys that no older run holds come back as a sorted run.
+    With ``often``, so do those of at least that many postings, each with their number (eight bytes and eight).
     """
 
     def reduce(table: pa.Table) -> pa.Table:
@@ -207,12 +214,15 @@ def answered(rows: DataFrame, ask: str, n_parts: int, *, width: int = 5, info_wi
             start = _runs(k)
             size = np.diff(np.append(start, len(k)))
             if ask == "shared":
-                yes = ~np.concatenate(many)[order] & np.repeat(size > 1, size)
+                yes = ~np.concatenate(many)[order] & np.repeat(np.minimum.reduceat(o, start) < np.maximum.reduceat(o, start), size)
             else:
                 before = np.concatenate(older)
                 seen = np.isin(k[start], before, assume_unique=True) if len(before) else np.zeros(len(start), bool)
                 yes = (o > np.repeat(np.minimum.reduceat(o, start), size)) | np.repeat(seen, size)
             bucket = table.column("bucket")[0].as_py()
+            if often is not None and (size >= often).any():
+                hot = k[start][size >= often] | U64(bucket) << U64(8 * width)
+                answers.append((None, None, None, None, None, bucket, np.stack([hot, size[size >= often].astype(U64)], axis=1).tobytes()))
             if make_run:
                 answers.append((None, None, None, None, None, bucket, _planes(k[start][~seen], width)))
             k, o = k[yes], o[yes]

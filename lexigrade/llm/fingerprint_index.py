@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexigrade.llm import exchange as X
 from lexigrade.llm import hashing as H
-from lexigrade.llm.scratch import Scratch, buckets, free_shuffles
+from lexigrade.llm.scratch import Scratch, buckets
 
 #: Stands for a null id.
 LAST = (1 << 63) - 1
@@ -76,8 +76,6 @@ class FingerprintIndex:
         self.batches += 1
         name = f"batch{self.batches}"
         found = self.scratch.save(X.answered(rows, "earlier", n_buckets, width=8, make_run=not last), name)
-        del rows
-        free_shuffles(self.spark)
         if not last:
             self.scratch.save(found.where("run is not null").select("bucket", "run"), f"run{self.batches}")
             self.runs.append(f"run{self.batches}")

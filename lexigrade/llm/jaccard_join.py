@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, functions as F
 from lexigrade.llm import hashing as H
 from lexigrade.llm.components import components
 from lexigrade.llm.exchange import answered, merged, packed, unpacked
-from lexigrade.llm.scratch import Scratch, buckets, free_shuffles
+from lexigrade.llm.scratch import Scratch, buckets
 
 #: Classes from which a token is joined by blocks, and classes in a block.
 _HOT, _BLOCK = 48, 2048
@@ -228,8 +228,6 @@ def _joined(documents: DataFrame, width: int, percent: int) -> DataFrame:
     n_buckets = buckets(documents)
     answers = answered(packed(rows, _holder(width), n_buckets, "shared"), "shared", n_buckets, info_width=_INFO)
     docs = scratch.save(merged(answers, _INFO).mapInArrow(_unpacked, "rid long, doc_id long, n long, set_hash long, tokens binary, n_shared long"), "docs")
-    del answers
-    free_shuffles(spark)
 
     alive = docs.where((F.col("n") > 0) & F.col("doc_id").isNotNull() & (100 * F.col("n_shared") >= percent * F.col("n")))
     key = ["n", "set_hash"]

@@ -1,27 +1,34 @@
 """Removal of repeated byte strings by blockwise suffix order with a difference cover.
 
 Positions whose number modulo 31 is in a difference cover are sampled, six of 31.  For any
-two positions i and j some offset under 31 takes both onto sampled ones.  So two equal
-strings of 50 bytes hold equal strings of 20 bytes at sampled positions:
-
-1. Cover sample.  The 20-byte strings at sampled positions are ranked among all documents:
-   only whether a rank is held by several documents matters here, and a packed exchange
-   tells each document which of its sampled strings are.
-2. Suffix buckets.  A position whose 50 bytes hold no shared sampled string has no equal
-   and leaves.  The remaining suffixes are dealt into buckets, ``rounds`` ranges of them
-   one after another, and each bucket is sorted by itself: documents that hold an equal
-   50-byte prefix meet, and the smallest id is known.  The shuffle of a range is freed
-   before the next, so disk and memory hold one range at a time.
-3. Bytes covered by a string that a smaller id holds are removed.
-
-Suffixes are ordered by hashes of their first 50 bytes, not by the bytes: only equality
-and not the order of unequal strings decides here.  A match compares 70 bits at 64 buckets,
-and one more with each doubling of the input; the cover sample only selects candidates.
+two positions i and j some offset d under 31 takes both onto sampled ones, and two strings
+of ``width`` bytes are equal if the d bytes before those samples are, and the samples'
+suffixes through width - d bytes.  So suffixes are compared at a common sample, by d bytes
+and by the sample's rank, and only sampled suffixes are ever sorted:
+
+1. Copies.  Rows of equal text (128 bits of SHA-256) are one class, and its smallest id
+   stands for it; a text that a smaller id holds too goes whole.
+2. Filter.  The 20 bytes at a sample must stand in another class, or no equal string of 50
+   bytes holds it there.  A packed exchange of hashes tells each class which of its samples
+   pass; false matches cost work but decide nothing.
+3. Suffix buckets.  A sample that passed goes, with the 50 bytes from it and the 30 before,
+   to the bucket of its leading 20 bytes.  One ``block`` of buckets is handled after the
+   other, and its shuffle freed, which bounds disk and memory.  A bucket sorts its sampled
+   suffixes by their bytes; the adjacent common prefixes give each one's rank among
+   prefixes of every length.  The bytes before are ranked the same way, backwards.
+4. Ties.  For each d, samples that tie in the first 20 bytes are compared by the ranks of
+   their d bytes before and of their width - d bytes from there: equal ones mean equal
+   strings, all others than those of the smallest id are removed.  No hash decides here.
+
+A sample held by very many flushes (a passage that a third of all documents share) isn't
+gathered in its bucket.  Every string that holds such a sample is dealt by its own whole
+content instead, where a flush sends one copy; strings that only begin or end in the
+passage differ and spread.  Such samples are at most ``HOT_KEYS`` and are broadcast.
 
 Cases: null and empty texts and texts of under 50 bytes lose nothing; a null id counts as
 the largest; rows that share an id aren't copies of each other; a string that a document
 repeats isn't removed for that; an empty table gives an empty result; removal may cut a
-character in two, which is why hashes are of bytes; other columns are ignored.
+character in two, which is why bytes are compared; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,82 +38,328 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigrade.llm import exchange as X
 from lexigrade.llm import hashing as H
-from lexigrade.llm.scratch import Scratch, buckets, free_shuffles
+from lexigrade.llm.scratch import Scratch, buckets
 
+U64 = np.uint64
 #: Every difference modulo the period is one of two members of the cover.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+BEFORE = PERIOD - 1
 LAST = (1 << 63) - 1
-_CHUNK = np.uint64(0x2545F4914F6CDD1D)
+#: Flushes that must hold a sample before it is dealt by content, and most such samples.
+HOT_FLUSHES, HOT_KEYS = 64, 1 << 20
+#: Records that a map task holds before it packs and emits them.
+FLUSH = 120_000
+KEY_BYTES = 4
+#: Kinds of packed rows: samples with their context, whole strings, answers known already.
+SAMPLE, STRING, KNOWN = 0, 1, 2
+#: Set in an answer's mask if its document holds the same context elsewhere too.
+AGAIN = 1 << 31
+_CHUNK = U64(0x2545F4914F6CDD1D)
+
+_PACKED = [("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("owners", pa.binary()), ("owner", pa.binary()), ("bytes", pa.binary()), ("places", pa.binary()), ("masks", pa.binary())]
+PACKED = "block int, bucket int, kind int, owners binary, owner binary, bytes binary, places binary, masks binary"
+_TOLD = [("part", pa.int32()), ("owners", pa.binary()), ("owner", pa.binary()), ("places", pa.binary()), ("masks", pa.binary())]
+TOLD = "part int, owners binary, owner binary, places binary, masks binary"
 
 
 def byte_hashes(padded: np.ndarray, at: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """Hash of the width bytes from each position; padded has 8 more bytes than positions reach."""
     eight = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
-    h = np.full(len(at), np.uint64(seed) + _CHUNK, np.uint64)
+    h = np.full(len(at), U64(seed) + _CHUNK, U64)
     for k in range(0, width, 8):
         part = eight[at + k]
         if width - k < 8:
             part = part & H._MASK[width - k]
-        h = H.mix((h ^ part) * _CHUNK + np.uint64(k + 1))
+        h = H.mix((h ^ part) * _CHUNK + U64(k + 1))
     return h
 
 
 def sampled(offsets: np.ndarray, inside: int) -> tuple[np.ndarray, np.ndarray]:
     """(position, row) of each sampled position that has ``inside`` bytes left in its row."""
     size = np.diff(offsets)
-    row = np.repeat(np.arange(len(size)), size)
-    place = np.arange(offsets[-1]) - offsets[row]
-    member = np.zeros(PERIOD, bool)
-    member[list(COVER)] = True
-    some = np.flatnonzero(member[place % PERIOD] & (place + inside <= size[row]))
-    return some, row[some]
+    periods = -(-size // PERIOD)
+    row = np.repeat(np.arange(len(size)), periods)
+    first = np.arange(len(row)) - np.repeat(np.cumsum(periods) - periods, periods)
+    at = (offsets[row] + first * PERIOD)[:, None] + np.array(COVER)
+    row = np.repeat(row, len(COVER))
+    at = at.ravel()
+    full = at + inside <= offsets[row + 1]
+    return at[full], row[full]
 
 
 def _padded(data: np.ndarray) -> np.ndarray:
     return np.concatenate([data, np.zeros(8, np.uint8)])
 
 
-def candidates(data: np.ndarray, offsets: np.ndarray, cells: list, width: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position, row) of the windows that hold a sampled string which other rows hold."""
-    inside = width - PERIOD + 1
-    at, row = sampled(offsets, inside)
-    size = np.diff(offsets)
-    near = np.zeros(len(data) + 1, np.int32)
-    live = np.array([bool(c) for c in cells], bool)
-    keep = live[row]
-    at, row = at[keep], row[keep]
-    bucket, rest = X.split(byte_hashes(_padded(data), at, inside), None, n_buckets)
-    key = rest | bucket.astype(np.uint64) << np.uint64(40)
-    edge = np.searchsorted(row, np.arange(len(size) + 1))
-    for k in np.flatnonzero(live):
-        of = slice(edge[k], edge[k + 1])
-        shared = at[of][np.isin(key[of], X.unpacked(cells[k]))]
-        # a window begins up to PERIOD - 1 before the sampled string that it holds
-        np.add.at(near, np.maximum(shared - (PERIOD - 1), offsets[k]), 1)
-        np.add.at(near, shared + 1, -1)
-    some = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-    owner = np.searchsorted(offsets, some, side="right") - 1
-    full = some + width <= offsets[owner + 1]
-    return some[full], owner[full]
-
-
-def _rotated(h: np.ndarray, bits: int) -> np.ndarray:
-    return h << np.uint64(bits) | h >> np.uint64(64 - bits) if bits else h
-
-
-def deduplicated(documents: DataFrame, *, width: int = 50, rounds: int = 2, texts: bool = False) -> DataFrame:
+def _words(rows: np.ndarray) -> list[np.ndarray]:
+    """The columns of byte rows as big-endian words, so that their order is that of the bytes."""
+    n, width = rows.shape
+    wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = rows
+    return list(np.ascontiguousarray(wide.view(">u8").astype(U64).T))
+
+
+def sort_suffixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of byte rows, bytes that each has in common with the one before it in order)."""
+    order = np.lexsort(_words(rows)[::-1])
+    common = np.zeros(len(rows), np.int64)
+    if len(rows) > 1:
+        inside = rows[order]
+        unlike = np.ones((len(rows) - 1, rows.shape[1] + 1), bool)
+        np.not_equal(inside[1:], inside[:-1], out=unlike[:, :-1])
+        common[1:] = unlike.argmax(1)
+    return order, common
+
+
+def ranks(order: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
+    """Rank of each row among the rows' first ``length`` bytes, equal for equal ones."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < length)
+    return out
+
+
+def _later(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether a smaller id has the same key."""
+    order = np.argsort(key)
+    k = key[order]
+    start = X._runs(k)
+    least = np.repeat(np.minimum.reduceat(ids[order], start), np.diff(np.append(start, len(k)))) if len(k) else ids
+    out = np.empty(len(key), bool)
+    out[order] = ids[order] > least
+    return out
+
+
+def resolve_samples(context: np.ndarray, ids: np.ndarray, masks: np.ndarray, width: int) -> np.ndarray:
+    """For each sample, the offsets d (as bits) whose string a smaller id holds too.
+
+    ``context`` has the 30 bytes before a sample and the ``width`` from it; ``masks`` the
+    offsets whose string lies within the document.
+    """
+    inside = width - BEFORE
+    out = np.zeros(len(ids), np.int64)
+    order, common = sort_suffixes(context[:, BEFORE:])
+    tied = ranks(order, common, inside)
+    some = np.flatnonzero(np.bincount(tied)[tied] > 1)  # the others tie with none
+    if not len(some):
+        return out
+    clipped = [ranks(order, common, width - d)[some] for d in range(PERIOD)]
+    before, alike = sort_suffixes(np.ascontiguousarray(context[some, BEFORE - 1 :: -1]))
+    mine, valid = ids[some], masks[some]
+    for d in range(PERIOD):
+        has = np.flatnonzero(valid >> d & 1)
+        if len(has):
+            key = clipped[d][has] << 32 | ranks(before, alike, d)[has]
+            out[some[has]] |= _later(key, mine[has]).astype(np.int64) << d
+    return out
+
+
+def resolve_strings(strings: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether a smaller id holds the same string."""
+    order, common = sort_suffixes(strings)
+    return _later(ranks(order, common, strings.shape[1]), ids)
+
+
+class _Flush:
+    """Records of one kind that a map task has gathered."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.owners: list[np.ndarray] = []
+        self.size = self.n_owners = 0
+
+    def add(self, owners: np.ndarray, owner: np.ndarray, rows: np.ndarray, key: np.ndarray, place: np.ndarray, mask: np.ndarray) -> None:
+        self.parts.append((owner + self.n_owners, rows, key, place, mask))
+        self.owners.append(owners)
+        self.n_owners += len(owners)
+        self.size += len(owner)
+
+    def packed(self, kind: int, n_buckets: int, n_parts: int, blocks: int) -> Iterator[tuple]:
+        """Rows of ``PACKED``: of equal records one, the smallest id's; answers for the rest."""
+        if not self.parts:
+            return
+        owners = np.concatenate(self.owners)
+        owner, rows, key, place, mask = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        if not len(owner):
+            return
+        content = byte_hashes(_padded(rows.ravel()), np.arange(len(rows)) * rows.shape[1], rows.shape[1]) ^ H.mix(mask.astype(U64))
+        order = np.lexsort((owner, owners[owner, 2], content))
+        start = X._runs(content[order])
+        head = np.repeat(order[start], np.diff(np.append(start, len(order))))
+        alike = (rows[order] == rows[head]).all(1) & (mask[order] == mask[head])
+        told = alike & (owners[owner[order], 2] > owners[owner[head], 2])
+        again = alike & (owner[order] == owner[head]) & (order != head)
+        twice = np.zeros(len(order), np.int64)
+        twice[head[again]] = AGAIN
+        yield from _answers(owners, owner[order[told]], place[order[told]], mask[order[told]], n_parts, (-1,), KNOWN)
+        left = order[~told & ~again]
+        bucket = (key[left] >> U64(64 - (n_buckets.bit_length() - 1))).astype(np.int64)
+        deal = np.argsort(bucket, kind="stable")
+        for a, z in X._spans(bucket[deal]):
+            some = left[deal[a:z]]
+            who, local = np.unique(owner[some], return_inverse=True)
+            at = int(bucket[deal[a]])
+            yield at % blocks, at, kind, owners[who].tobytes(), local.astype(np.uint32).tobytes(), rows[some].tobytes(), place[some].astype(np.uint32).tobytes(), (mask[some] | twice[some]).astype(np.uint32).tobytes()
+
+
+def _answers(owners: np.ndarray, owner: np.ndarray, place: np.ndarray, mask: np.ndarray, n_parts: int, front: tuple = (), kind: int | None = None) -> Iterator[tuple]:
+    """Answers dealt by their owner, many to a row."""
+    if not len(owner):
+        return
+    part = X._parts(np.ascontiguousarray(owners[owner, 0]), n_parts)
+    deal = np.argsort(part, kind="stable")
+    for a, z in X._spans(part[deal]):
+        some = deal[a:z]
+        who, local = np.unique(owner[some], return_inverse=True)
+        told = owners[who].tobytes(), local.astype(np.uint32).tobytes()
+        numbers = place[some].astype(np.uint32).tobytes(), mask[some].astype(np.uint32).tobytes()
+        yield (*front, int(part[some[0]]), *told, *numbers) if kind is None else (*front, int(part[some[0]]), kind, *told, b"", *numbers)
+
+
+def _batch(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _gathered(table: pa.Table, width: int | None) -> tuple[np.ndarray, ...]:
+    """(owners, owner, byte rows, places, masks) of packed rows."""
+    owners, owner, n = [np.zeros((0, 3), np.int64)], [np.zeros(0, np.int64)], 0
+    for who, local in zip(table.column("owners").to_pylist(), table.column("owner").to_pylist(), strict=True):
+        owners.append(np.frombuffer(who, np.int64).reshape(-1, 3))
+        owner.append(np.frombuffer(local, np.uint32).astype(np.int64) + n)
+        n += len(owners[-1])
+    numbers = [np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint32).astype(np.int64) for c in ("places", "masks")]
+    rows = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(-1, width) if width else None
+    return np.concatenate(owners), np.concatenate(owner), rows, *numbers
+
+
+def _hot(found: DataFrame) -> np.ndarray:
+    """The samples of most postings, at most ``HOT_KEYS``, sorted."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["sample", "n"])
+
+    rows = found.where("run is not null").select("run").mapInArrow(spread, "sample long, n long")
+    return np.sort(np.array([r.sample for r in rows.orderBy(F.desc("n"), "sample").limit(HOT_KEYS).collect()], np.int64).view(U64))
+
+
+def _extractor(width: int, n_filter: int, n_buckets: int, blocks: int, hot: np.ndarray):
+    """Packed records of ``(text, h1, h2, id, cells)``: samples that passed, with their context."""
+    inside = width - BEFORE
+
+    def records(part: pa.RecordBatch, samples: _Flush, strings: _Flush) -> None:
+        data, offsets = H.text_bytes(part.column(0))
+        owners = np.stack([part.column(k).to_numpy() for k in (1, 2, 3)], axis=1)
+        at, row = sampled(offsets, inside)
+        around = np.concatenate([np.zeros(BEFORE, np.uint8), data, np.zeros(width + 8, np.uint8)])
+        hashed = byte_hashes(around[BEFORE:], at, inside)
+        bucket, rest = X.split(hashed, None, n_filter, KEY_BYTES)
+        key = rest | bucket.astype(U64) << U64(8 * KEY_BYTES)
+        cells = [X.unpacked(c, KEY_BYTES) for c in part.column(4).to_pylist()]
+        of = np.repeat(np.arange(len(cells)), [len(c) for c in cells]).astype(U64)
+        passed = np.isin(H.mix(key + H.mix(row.astype(U64))), H.mix(np.concatenate(cells) + H.mix(of)))
+        at, row, hashed, key = at[passed], row[passed], hashed[passed], key[passed]
+        often = np.isin(key, hot)
+        if often.any():
+            near = np.zeros(len(data) + 1, np.int64)
+            np.add.at(near, np.maximum(at[often] - BEFORE, offsets[row[often]]), 1)
+            np.add.at(near, at[often] + 1, -1)
+            begin = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+            holder = np.searchsorted(offsets, begin, side="right") - 1
+            full = begin + width <= offsets[holder + 1]
+            begin, holder = begin[full], holder[full]
+            rows = np.lib.stride_tricks.sliding_window_view(around[BEFORE:], width)[begin]
+            strings.add(owners, holder, rows, byte_hashes(around[BEFORE:], begin, width, 7), begin - offsets[holder], np.ones(len(begin), np.int64))
+        at, row, hashed = at[~often], row[~often], hashed[~often]
+        least = np.maximum(0, width - (offsets[row + 1] - at))
+        most = np.minimum(BEFORE, at - offsets[row])
+        some = np.flatnonzero(least <= most)
+        at, row, hashed, least, most = at[some], row[some], hashed[some], least[some], most[some]
+        rows = np.lib.stride_tricks.sliding_window_view(around, BEFORE + width)[at]
+        samples.add(owners, row, rows, hashed, at - offsets[row], (2 << most) - (1 << least))
+
+    def flushed(samples: _Flush, strings: _Flush) -> pa.RecordBatch:
+        rows = [*samples.packed(SAMPLE, n_buckets, n_filter, blocks), *strings.packed(STRING, n_buckets, n_filter, blocks)]
+        return _batch(rows, _PACKED)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        samples, strings = _Flush(), _Flush()
+        for batch in batches:
+            for part in H.slices(batch):
+                records(part, samples, strings)
+                if samples.size + strings.size >= FLUSH:
+                    yield flushed(samples, strings)
+                    samples, strings = _Flush(), _Flush()
+        yield flushed(samples, strings)
+
+    return mapped
+
+
+def _resolver(width: int, n_parts: int):
+    """Answers of one bucket: its samples sorted and compared, and its strings."""
+
+    def reduce(table: pa.Table) -> pa.Table:
+        out = []
+        kinds = np.array(table.column("kind").to_pylist())
+        for kind, wide in ((SAMPLE, BEFORE + width), (STRING, width)):
+            if (kinds == kind).any():
+                owners, owner, rows, place, mask = _gathered(table.filter(pa.array(kinds == kind)), wide)
+                ids = owners[owner, 2]
+                found = resolve_samples(rows, ids, mask & AGAIN - 1, width) if kind == SAMPLE else resolve_strings(rows, ids).astype(np.int64)
+                some = np.flatnonzero(found)
+                out += _answers(owners, owner[some], place[some], found[some] | mask[some] & AGAIN, n_parts)
+        return pa.Table.from_batches([_batch(out, _TOLD)])
+
+    return reduce
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """(h1, h2, places, masks): one row for each owner of a part's answers."""
+    owners, owner, _, place, mask = _gathered(table, None)
+    _, first, one = np.unique(owners[:, :2], axis=0, return_index=True, return_inverse=True)
+    who = one.ravel()[owner]
+    order = np.argsort(who, kind="stable")
+    edge = np.searchsorted(who[order], np.arange(len(first) + 1))
+    place, mask = place[order].astype(np.uint32), mask[order].astype(np.uint32)
+    cells = [[c[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:], strict=True)] for c in (place, mask)]
+    return pa.table({"h1": pa.array(owners[first, 0]), "h2": pa.array(owners[first, 1]), "places": pa.array(cells[0], pa.binary()), "masks": pa.array(cells[1], pa.binary())})
+
+
+def gone(text: np.ndarray, places: np.ndarray, masks: np.ndarray, width: int) -> np.ndarray:
+    """Which bytes of a text the answers remove."""
+    begins = np.zeros(len(text) + 1, bool)
+    for d in range(PERIOD):
+        begins[places[(masks >> d & 1).astype(bool)] - d] = True
+    if (masks & AGAIN).any():  # the same context stands elsewhere in the text
+        padded, every = _padded(text), np.arange(len(text) - width + 1)
+        hashes = byte_hashes(padded, every, width)
+        begins[every[np.isin(hashes, hashes[begins[: len(every)]])]] = True
+    return H.covered(np.flatnonzero(begins), width, len(text))
+
+
+def deduplicated(documents: DataFrame, *, width: int = 50, blocks: int = 4, texts: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row, and the kept bytes if asked for.
 
-    ``rounds`` is a power of two: into how many ranges the suffixes are dealt.
+    ``width`` is over 38; ``blocks``: into how many parts the suffix buckets are dealt.
     """
+    if width <= BEFORE + 8:
+        raise ValueError(f"width must be over {BEFORE + 8}")
     spark = documents.sparkSession
     scratch = Scratch(spark, "suffixes")
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    n_buckets, inside, bits = buckets(documents), width - PERIOD + 1, rounds.bit_length() - 1
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), text.alias("text"), F.sha2(text, 256).alias("sha"))
+
+    def half(k: int) -> Column:
+        return F.conv(F.substring("sha", 1 + 16 * k, 16), 16, -10).cast("long")
+
+    rows = rows.select("*", half(0).alias("h1"), half(1).alias("h2"))
+    n_filter, inside = buckets(documents), width - BEFORE
+    classes = scratch.save(rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.max("id").alias("most")), "classes")
 
     def sample(b: pa.RecordBatch) -> Iterator[X.Held]:
         for part in H.slices(b):
@@ -114,58 +367,51 @@ def deduplicated(documents: DataFrame, *, width: int = 50, rounds: int = 2, text
             at, row = sampled(offsets, inside)
             yield part.column(0).to_numpy(), None, row, byte_hashes(_padded(data), at, inside), None
 
-    found = X.answered(X.packed(rows.select("id", "text"), sample, n_buckets, "shared"), "shared", n_buckets)
-    shared = scratch.save(X.merged(found).select("id", "cells"), "sample")
-    del found
-    free_shuffles(spark)
-
-    def suffixes(turn: int):
-        def hold(b: pa.RecordBatch) -> Iterator[X.Held]:
-            for part in H.slices(b):
-                data, offsets = H.text_bytes(part.column(1))
-                at, row = candidates(data, offsets, part.column(2).to_pylist(), width, n_buckets)
-                padded = _padded(data)
-                one = _rotated(byte_hashes(padded, at, width), bits)
-                own = np.flatnonzero((one & np.uint64(rounds - 1)) == turn)
-                yield part.column(0).to_numpy(), None, row[own], one[own], byte_hashes(padded, at[own], width, 77)
-
-        return hold
-
-    answers = []
-    for turn in range(rounds):
-        some = rows.select("id", "text").join(shared, "id")
-        found = X.answered(X.packed(some, suffixes(turn), n_buckets, "earlier"), "earlier", n_buckets, width=8)
-        answers.append(scratch.save(found, f"bucket{turn}"))
-        del some, found
-        free_shuffles(spark)
-    every = answers[0]
-    for one in answers[1:]:
-        every = every.union(one)
-    told = X.merged(every).select("id", "cells")
+    found = X.packed(rows.select("h1", "text"), sample, n_filter, "shared", width=KEY_BYTES)
+    found = scratch.save(X.answered(found, "shared", n_filter, width=KEY_BYTES, often=HOT_FLUSHES), "shared")
+    hot = _hot(found)
+    shared = X.merged(found).select(F.col("id").alias("h1"), "cells").where(F.length("cells") > 0)
+    asked = classes.join(shared, "h1").select("h1", "h2", "id", "cells")
+    some = rows.select("text", "h1", "h2", "id").join(asked, ["h1", "h2", "id"]).select("text", "h1", "h2", "id", "cells")
+    n_buckets = 2 * n_filter
+    scratch.save(some.mapInArrow(_extractor(width, n_filter, n_buckets, blocks, hot), PACKED), "records", by="block")
+    scratch.drop("shared")
+    told = scratch.read("records", PACKED).where("block = -1").select(F.col("bucket").alias("part"), "owners", "owner", "places", "masks")
+    for block in range(blocks):
+        suffixes = scratch.read("records", PACKED).where(F.col("block") == block).groupBy("bucket")
+        told = told.union(scratch.save(suffixes.applyInArrow(_resolver(width, n_filter), TOLD), f"block{block}"))
+    told = told.groupBy("part").applyInArrow(_merged, "h1 long, h2 long, places binary, masks binary")
+    told = scratch.save(classes.select("h1", "h2", "id").join(told, ["h1", "h2"], "left"), "told")
+    scratch.drop("records", *(f"block{k}" for k in range(blocks)))
 
     def cleaned(b: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in b:
             for part in H.slices(batch, "text"):
-                yield _cleaned(part, width, bits, n_buckets, texts)
+                yield _cleaned(part, width, texts)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return rows.join(told, "id", "left").select("doc_id", "text", "cells").mapInArrow(cleaned, schema)
+    firsts = rows.select("doc_id", "text", "h1", "h2", "id").join(told, ["h1", "h2", "id"])
+    firsts = firsts.select("doc_id", "text", "places", "masks").mapInArrow(cleaned, schema)
+    # a hot text's copies are dealt over salts, and don't take their texts along
+    salts = 16
+    first = classes.where("most > id").select("h1", "h2", F.col("id").alias("first"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    light = rows.select("doc_id", "id", "h1", "h2", F.octet_length("text").cast("long").alias("n"), "sha", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), *[F.when(F.octet_length("text") < width, F.col("text").cast("binary")).otherwise(F.lit(b"")).alias("kept")] * texts)
+    whole = F.col("n") >= width
+    copies = light.join(first, ["h1", "h2", "salt"]).where("id > first").select("doc_id", F.col("n").alias("n_bytes"), F.when(whole, F.col("n")).otherwise(0).cast("long").alias("n_removed"), whole.cast("long").alias("n_spans"), F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("sha")).alias("kept_sha256"), *["kept"] * texts)
+    return firsts.union(copies)
 
 
-def _cleaned(part: pa.RecordBatch, width: int, bits: int, n_buckets: int, texts: bool) -> pa.RecordBatch:
+def _cleaned(part: pa.RecordBatch, width: int, texts: bool) -> pa.RecordBatch:
     data, offsets = H.text_bytes(part.column(1))
-    padded, raw = _padded(data), data.tobytes()
+    raw = data.tobytes()
     n_removed, n_spans, digests, kept_texts = [], [], [], []
-    for k in range(part.num_rows):
+    for k, (places, masks) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
         a, z = int(offsets[k]), int(offsets[k + 1])
-        cells, text = part.column(2)[k].as_py(), raw[a:z]
-        removed = spans = 0
-        if cells:
-            at = np.arange(a, z - width + 1)
-            _, rest = X.split(_rotated(byte_hashes(padded, at, width), bits), byte_hashes(padded, at, width, 77), n_buckets)
-            gone = H.covered(at[np.isin(rest, X.unpacked(cells, 8))] - a, width, z - a)
-            removed, spans = int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum())
-            text = data[a:z][~gone].tobytes()
+        removed, spans, text = 0, 0, raw[a:z]
+        if places:
+            out = gone(data[a:z], *(np.frombuffer(c, np.uint32).astype(np.int64) for c in (places, masks)), width)
+            removed, spans = int(out.sum()), int((out & ~np.append(False, out[:-1])).sum())
+            text = data[a:z][~out].tobytes()
         n_removed.append(removed)
         n_spans.append(spans)
         digests.append(hashlib.sha256(text).hexdigest())

@@ -118,25 +118,58 @@ def test_index_compacts(spark, documents):
     assert [(r.id, len(exchange.unpacked(r.cells, 8))) for r in told] == [(3, 2)]
 
 
-def test_suffix_dedup(documents):
-    rows = documents.collect()
-    key = lambda r: float("inf") if r.doc_id is None else r.doc_id
+def without_strings(rows, width):
+    """What the contract of suffix dedup says, string by string."""
+    key = lambda r: float("inf") if r[0] is None else r[0]
     held = {}
     for row in rows:
-        b = (row.text or "").encode()
-        for k in range(len(b) - 49):
-            held[b[k : k + 50]] = min(held.get(b[k : k + 50], float("inf")), key(row))
+        b = (row[1] or "").encode()
+        for k in range(len(b) - width + 1):
+            held[b[k : k + width]] = min(held.get(b[k : k + width], float("inf")), key(row))
     want = []
     for row in rows:
-        b = (row.text or "").encode()
+        b = (row[1] or "").encode()
         gone = bytearray(len(b))
-        for k in range(len(b) - 49):
-            if held[b[k : k + 50]] < key(row):
-                gone[k : k + 50] = b"\1" * 50
+        for k in range(len(b) - width + 1):
+            if held[b[k : k + width]] < key(row):
+                gone[k : k + width] = b"\1" * width
         spans = len(re.findall(rb"\x01+", bytes(gone)))
-        want.append((str(row.doc_id), len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
-    got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(documents).collect()]
-    assert sorted(got) == sorted(want)
+        want.append((str(row[0]), len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return sorted(want)
+
+
+def with_ties():
+    """Texts of two letters and of repeated passages: ties far over the bytes that make a bucket."""
+    r = random.Random(8)
+    texts = ["".join(r.choice("ab") for _ in range(r.randint(0, 150))) * r.randint(1, 3) for _ in range(30)]
+    passage = "the same long passage of words that stands in many a text, " * 4
+    texts += [f"{r.random()} {passage[: r.randint(40, 200)]}{r.random()}" for _ in range(25)]
+    return [(k % 50, t) for k, t in enumerate([*texts, "z" * 700, "z" * 900 + "y", *texts[:4]])] + [(None, passage), (None, passage)]
+
+
+@pytest.mark.parametrize(("width", "hot"), [(50, 64), (50, 1), (50, 2), (77, 2)])
+def test_suffix_dedup(spark, documents, monkeypatch, width, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_FLUSHES", hot)
+    some = spark.createDataFrame(with_ties(), "doc_id long, text string").repartition(5)
+    for table in (some, documents)[: 2 if hot == 64 else 1]:
+        rows = [(r.doc_id, r.text) for r in table.collect()]
+        got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(table, width=width).collect()]
+        assert sorted(got) == without_strings(rows, width)
+    kept = {r.kept_sha256: r.kept for r in suffix_dedup.deduplicated(some, width=width, texts=True).collect()} if hot == 1 else {}
+    assert all(hashlib.sha256(text).hexdigest() == digest for digest, text in kept.items())
+
+
+def test_samples_tie_by_ranks():
+    """Strings that agree through their common sample's 20 bytes and beyond differ by ranks only."""
+    base = np.frombuffer(b"0123456789" * 8, np.uint8)
+    far, near = base.copy(), base.copy()
+    far[79] ^= 1  # the last byte of offset 0 alone
+    near[0] ^= 1  # the first byte of offset 30 alone
+    found = suffix_dedup.resolve_samples(np.stack([base, far, near]), np.array([1, 2, 3]), np.full(3, (1 << 31) - 1), 50)
+    assert found.tolist() == [0, (1 << 31) - 2, (1 << 30) - 1]
+    order, common = suffix_dedup.sort_suffixes(np.stack([far, base, near])[:, 30:])
+    texts = [bytes(x[30:]) for x in (far, base, near)]
+    assert [texts[k] for k in order] == sorted(texts) and common.tolist()[1:] == [49, 50]
 
 
 def test_cover_takes_any_two_positions():
