@@ -12,13 +12,15 @@ and by the sample's rank, and only sampled suffixes are ever sorted:
    bytes holds it there.  A packed exchange of hashes tells each class which of its samples
    pass; false matches cost work but decide nothing.
 3. Suffix buckets.  A sample that passed goes, with the 50 bytes from it and the 30 before,
-   to the bucket of its leading 20 bytes.  One ``block`` of buckets is handled after the
-   other, and its shuffle freed, which bounds disk and memory.  A bucket sorts its sampled
-   suffixes by their bytes; the adjacent common prefixes give each one's rank among
+   to the bucket of its leading 20 bytes.  Buckets are handled in blocks, one after the
+   other, and a block's shuffle is freed, which bounds disk and memory.  A bucket sorts its
+   sampled suffixes by their bytes; the adjacent common prefixes give each one's rank among
    prefixes of every length.  The bytes before are ranked the same way, backwards.
 4. Ties.  For each d, samples that tie in the first 20 bytes are compared by the ranks of
    their d bytes before and of their width - d bytes from there: equal ones mean equal
    strings, all others than those of the smallest id are removed.  No hash decides here.
+   A string that one block removes isn't asked about in the next: whoever has it with the
+   smallest id is never removed and stands for it in every block.
 
 A sample held by very many flushes (a passage that a third of all documents share) isn't
 gathered in its bucket.  Every string that holds such a sample is dealt by its own whole
@@ -60,10 +62,13 @@ SAMPLE, STRING, KNOWN = 0, 1, 2
 AGAIN = 1 << 31
 _CHUNK = U64(0x2545F4914F6CDD1D)
 
-_PACKED = [("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("owners", pa.binary()), ("owner", pa.binary()), ("bytes", pa.binary()), ("places", pa.binary()), ("masks", pa.binary())]
-PACKED = "block int, bucket int, kind int, owners binary, owner binary, bytes binary, places binary, masks binary"
+_PACKED = [("bucket", pa.int32()), ("kind", pa.int32()), ("owners", pa.binary()), ("owner", pa.binary()), ("bytes", pa.binary()), ("places", pa.binary()), ("masks", pa.binary())]
+PACKED = "bucket int, kind int, owners binary, owner binary, bytes binary, places binary, masks binary"
 _TOLD = [("part", pa.int32()), ("owners", pa.binary()), ("owner", pa.binary()), ("places", pa.binary()), ("masks", pa.binary())]
 TOLD = "part int, owners binary, owner binary, places binary, masks binary"
+MERGED = "h1 long, h2 long, places binary, masks binary"
+#: Parts that samples fall into by their bytes; a block of buckets is a range of them.
+SHARES = 256
 
 
 def byte_hashes(padded: np.ndarray, at: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
@@ -171,41 +176,44 @@ class _Flush:
         self.owners: list[np.ndarray] = []
         self.size = self.n_owners = 0
 
-    def add(self, owners: np.ndarray, owner: np.ndarray, rows: np.ndarray, key: np.ndarray, place: np.ndarray, mask: np.ndarray) -> None:
-        self.parts.append((owner + self.n_owners, rows, key, place, mask))
+    def add(self, owners: np.ndarray, owner: np.ndarray, rows: np.ndarray, key: np.ndarray, place: np.ndarray, mask: np.ndarray, valid: np.ndarray) -> None:
+        """``mask``: the strings to ask about; ``valid``: those that lie within the text."""
+        self.parts.append((owner + self.n_owners, rows, key, place, mask, valid))
         self.owners.append(owners)
         self.n_owners += len(owners)
         self.size += len(owner)
 
-    def packed(self, kind: int, n_buckets: int, n_parts: int, blocks: int) -> Iterator[tuple]:
+    def packed(self, kind: int, n_buckets: int, n_parts: int) -> Iterator[tuple]:
         """Rows of ``PACKED``: of equal records one, the smallest id's; answers for the rest."""
         if not self.parts:
             return
         owners = np.concatenate(self.owners)
-        owner, rows, key, place, mask = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        owner, rows, key, place, mask, valid = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         if not len(owner):
             return
-        content = byte_hashes(_padded(rows.ravel()), np.arange(len(rows)) * rows.shape[1], rows.shape[1]) ^ H.mix(mask.astype(U64))
+        content = byte_hashes(_padded(rows.ravel()), np.arange(len(rows)) * rows.shape[1], rows.shape[1])
         order = np.lexsort((owner, owners[owner, 2], content))
         start = X._runs(content[order])
         head = np.repeat(order[start], np.diff(np.append(start, len(order))))
-        alike = (rows[order] == rows[head]).all(1) & (mask[order] == mask[head])
-        told = alike & (owners[owner[order], 2] > owners[owner[head], 2])
-        again = alike & (owner[order] == owner[head]) & (order != head)
+        alike = (rows[order] == rows[head]).all(1)
+        told = np.where(alike & (owners[owner[order], 2] > owners[owner[head], 2]), mask[order] & valid[head], 0)
+        again = alike & (owner[order] == owner[head]) & (order != head) & (mask[order] == mask[head])
         twice = np.zeros(len(order), np.int64)
         twice[head[again]] = AGAIN
-        yield from _answers(owners, owner[order[told]], place[order[told]], mask[order[told]], n_parts, (-1,), KNOWN)
-        left = order[~told & ~again]
+        some = np.flatnonzero(told)
+        yield from _answers(owners, owner[order[some]], place[order[some]], told[some], n_parts, KNOWN)
+        mask[order] &= ~told
+        left = order[~again & (mask[order] != 0)]
         bucket = (key[left] >> U64(64 - (n_buckets.bit_length() - 1))).astype(np.int64)
         deal = np.argsort(bucket, kind="stable")
         for a, z in X._spans(bucket[deal]):
             some = left[deal[a:z]]
             who, local = np.unique(owner[some], return_inverse=True)
             at = int(bucket[deal[a]])
-            yield at % blocks, at, kind, owners[who].tobytes(), local.astype(np.uint32).tobytes(), rows[some].tobytes(), place[some].astype(np.uint32).tobytes(), (mask[some] | twice[some]).astype(np.uint32).tobytes()
+            yield at, kind, owners[who].tobytes(), local.astype(np.uint32).tobytes(), rows[some].tobytes(), place[some].astype(np.uint32).tobytes(), (mask[some] | twice[some]).astype(np.uint32).tobytes()
 
 
-def _answers(owners: np.ndarray, owner: np.ndarray, place: np.ndarray, mask: np.ndarray, n_parts: int, front: tuple = (), kind: int | None = None) -> Iterator[tuple]:
+def _answers(owners: np.ndarray, owner: np.ndarray, place: np.ndarray, mask: np.ndarray, n_parts: int, kind: int | None = None) -> Iterator[tuple]:
     """Answers dealt by their owner, many to a row."""
     if not len(owner):
         return
@@ -216,7 +224,7 @@ def _answers(owners: np.ndarray, owner: np.ndarray, place: np.ndarray, mask: np.
         who, local = np.unique(owner[some], return_inverse=True)
         told = owners[who].tobytes(), local.astype(np.uint32).tobytes()
         numbers = place[some].astype(np.uint32).tobytes(), mask[some].astype(np.uint32).tobytes()
-        yield (*front, int(part[some[0]]), *told, *numbers) if kind is None else (*front, int(part[some[0]]), kind, *told, b"", *numbers)
+        yield (int(part[some[0]]), *told, *numbers) if kind is None else (int(part[some[0]]), kind, *told, b"", *numbers)
 
 
 def _batch(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
@@ -248,8 +256,8 @@ def _hot(found: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.sample for r in rows.orderBy(F.desc("n"), "sample").limit(HOT_KEYS).collect()], np.int64).view(U64))
 
 
-def _extractor(width: int, n_filter: int, n_buckets: int, blocks: int, hot: np.ndarray):
-    """Packed records of ``(text, h1, h2, id, cells)``: samples that passed, with their context."""
+def _extractor(width: int, n_filter: int, n_buckets: int, low: int, high: int, hot: np.ndarray):
+    """Packed records of ``(text, h1, h2, id, cells, places, masks)``: samples of a block that passed, with their context."""
     inside = width - BEFORE
 
     def records(part: pa.RecordBatch, samples: _Flush, strings: _Flush) -> None:
@@ -265,7 +273,7 @@ def _extractor(width: int, n_filter: int, n_buckets: int, blocks: int, hot: np.n
         passed = np.isin(H.mix(key + H.mix(row.astype(U64))), H.mix(np.concatenate(cells) + H.mix(of)))
         at, row, hashed, key = at[passed], row[passed], hashed[passed], key[passed]
         often = np.isin(key, hot)
-        if often.any():
+        if low == 0 and often.any():
             near = np.zeros(len(data) + 1, np.int64)
             np.add.at(near, np.maximum(at[often] - BEFORE, offsets[row[often]]), 1)
             np.add.at(near, at[often] + 1, -1)
@@ -274,17 +282,28 @@ def _extractor(width: int, n_filter: int, n_buckets: int, blocks: int, hot: np.n
             full = begin + width <= offsets[holder + 1]
             begin, holder = begin[full], holder[full]
             rows = np.lib.stride_tricks.sliding_window_view(around[BEFORE:], width)[begin]
-            strings.add(owners, holder, rows, byte_hashes(around[BEFORE:], begin, width, 7), begin - offsets[holder], np.ones(len(begin), np.int64))
-        at, row, hashed = at[~often], row[~often], hashed[~often]
+            strings.add(owners, holder, rows, byte_hashes(around[BEFORE:], begin, width, 7), begin - offsets[holder], *(np.ones(len(begin), np.int64),) * 2)
+        share = hashed & U64(SHARES - 1)
+        mine = np.flatnonzero(~often & (share >= low) & (share < high))
+        at, row, hashed = at[mine], row[mine], hashed[mine]
         least = np.maximum(0, width - (offsets[row + 1] - at))
         most = np.minimum(BEFORE, at - offsets[row])
-        some = np.flatnonzero(least <= most)
-        at, row, hashed, least, most = at[some], row[some], hashed[some], least[some], most[some]
+        valid = np.where(least <= most, (2 << np.maximum(most, 0)) - (1 << least), 0)
+        masks = valid.copy()
+        known = np.zeros(len(data) + BEFORE, bool)  # strings that a block before has removed, BEFORE places on
+        for k, (p, m) in enumerate(zip(part.column(5).to_pylist(), part.column(6).to_pylist(), strict=True)):
+            if p:
+                known[_begins(p, m) + offsets[k] + BEFORE] = True
+        if known.any():
+            back = np.lib.stride_tricks.sliding_window_view(known, PERIOD)[at]
+            masks &= ~(back[:, ::-1] @ (1 << np.arange(PERIOD)))
+        some = np.flatnonzero(masks)
+        at, row, hashed, masks, valid = at[some], row[some], hashed[some], masks[some], valid[some]
         rows = np.lib.stride_tricks.sliding_window_view(around, BEFORE + width)[at]
-        samples.add(owners, row, rows, hashed, at - offsets[row], (2 << most) - (1 << least))
+        samples.add(owners, row, rows, hashed, at - offsets[row], masks, valid)
 
     def flushed(samples: _Flush, strings: _Flush) -> pa.RecordBatch:
-        rows = [*samples.packed(SAMPLE, n_buckets, n_filter, blocks), *strings.packed(STRING, n_buckets, n_filter, blocks)]
+        rows = [*samples.packed(SAMPLE, n_buckets, n_filter), *strings.packed(STRING, n_buckets, n_filter)]
         return _batch(rows, _PACKED)
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,22 +349,30 @@ def _merged(table: pa.Table) -> pa.Table:
     return pa.table({"h1": pa.array(owners[first, 0]), "h2": pa.array(owners[first, 1]), "places": pa.array(cells[0], pa.binary()), "masks": pa.array(cells[1], pa.binary())})
 
 
-def gone(text: np.ndarray, places: np.ndarray, masks: np.ndarray, width: int) -> np.ndarray:
+def _begins(places: bytes, masks: bytes) -> np.ndarray:
+    """Where the strings that answers remove begin."""
+    at, bits = (np.frombuffer(c, np.uint32).astype(np.int64) for c in (places, masks))
+    which, d = np.nonzero(bits[:, None] >> np.arange(PERIOD) & 1)
+    return at[which] - d
+
+
+def gone(text: np.ndarray, places: bytes, masks: bytes, width: int) -> np.ndarray:
     """Which bytes of a text the answers remove."""
     begins = np.zeros(len(text) + 1, bool)
-    for d in range(PERIOD):
-        begins[places[(masks >> d & 1).astype(bool)] - d] = True
-    if (masks & AGAIN).any():  # the same context stands elsewhere in the text
+    begins[_begins(places, masks)] = True
+    if (np.frombuffer(masks, np.uint32) & U64(AGAIN)).any():  # the same context stands elsewhere in the text
         padded, every = _padded(text), np.arange(len(text) - width + 1)
         hashes = byte_hashes(padded, every, width)
         begins[every[np.isin(hashes, hashes[begins[: len(every)]])]] = True
     return H.covered(np.flatnonzero(begins), width, len(text))
 
 
-def deduplicated(documents: DataFrame, *, width: int = 50, blocks: int = 4, texts: bool = False) -> DataFrame:
+def deduplicated(documents: DataFrame, *, width: int = 50, blocks: tuple[int, ...] = (SHARES // 4, SHARES), texts: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row, and the kept bytes if asked for.
 
-    ``width`` is over 38; ``blocks``: into how many parts the suffix buckets are dealt.
+    ``width`` is over 38; ``blocks``: the ends of the blocks that suffixes are handled in,
+    in shares of ``SHARES``, the last at the end.  A small first block removes most of what
+    many documents hold and spares the others that work.
     """
     if width <= BEFORE + 8:
         raise ValueError(f"width must be over {BEFORE + 8}")
@@ -371,18 +398,21 @@ def deduplicated(documents: DataFrame, *, width: int = 50, blocks: int = 4, text
     found = scratch.save(X.answered(found, "shared", n_filter, width=KEY_BYTES, often=HOT_FLUSHES), "shared")
     hot = _hot(found)
     shared = X.merged(found).select(F.col("id").alias("h1"), "cells").where(F.length("cells") > 0)
-    asked = classes.join(shared, "h1").select("h1", "h2", "id", "cells")
-    some = rows.select("text", "h1", "h2", "id").join(asked, ["h1", "h2", "id"]).select("text", "h1", "h2", "id", "cells")
-    n_buckets = 2 * n_filter
-    scratch.save(some.mapInArrow(_extractor(width, n_filter, n_buckets, blocks, hot), PACKED), "records", by="block")
-    scratch.drop("shared")
-    told = scratch.read("records", PACKED).where("block = -1").select(F.col("bucket").alias("part"), "owners", "owner", "places", "masks")
-    for block in range(blocks):
-        suffixes = scratch.read("records", PACKED).where(F.col("block") == block).groupBy("bucket")
-        told = told.union(scratch.save(suffixes.applyInArrow(_resolver(width, n_filter), TOLD), f"block{block}"))
-    told = told.groupBy("part").applyInArrow(_merged, "h1 long, h2 long, places binary, masks binary")
-    told = scratch.save(classes.select("h1", "h2", "id").join(told, ["h1", "h2"], "left"), "told")
-    scratch.drop("records", *(f"block{k}" for k in range(blocks)))
+    asked = scratch.save(classes.join(shared, "h1").select("h1", "h2", "id", "cells"), "asked")
+    n_buckets, answers = n_filter, None
+    told = spark.createDataFrame([], MERGED)
+    for k, (low, high) in enumerate(zip((0, *blocks), blocks, strict=False)):
+        cells = asked.join(told, ["h1", "h2"], "left")
+        some = rows.select("text", "h1", "h2", "id").join(cells, ["h1", "h2", "id"]).select("text", "h1", "h2", "id", "cells", "places", "masks")
+        records = scratch.save(some.mapInArrow(_extractor(width, n_filter, n_buckets, low, high, hot), PACKED), f"records{k}")
+        known = records.where(F.col("kind") == KNOWN).select(F.col("bucket").alias("part"), "owners", "owner", "places", "masks")
+        found = records.where(F.col("kind") != KNOWN).groupBy("bucket").applyInArrow(_resolver(width, n_filter), TOLD)
+        block = scratch.save(found.union(known), f"block{k}")
+        scratch.drop(f"records{k}")
+        answers = block if answers is None else answers.union(block)
+        told = scratch.save(answers.groupBy("part").applyInArrow(_merged, MERGED), f"told{k}")
+    told = classes.select("h1", "h2", "id").join(told, ["h1", "h2"], "left")
+    scratch.drop("asked", *(f"block{k}" for k in range(len(blocks))), *(f"told{k}" for k in range(len(blocks) - 1)))
 
     def cleaned(b: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in b:
@@ -409,7 +439,7 @@ def _cleaned(part: pa.RecordBatch, width: int, texts: bool) -> pa.RecordBatch:
         a, z = int(offsets[k]), int(offsets[k + 1])
         removed, spans, text = 0, 0, raw[a:z]
         if places:
-            out = gone(data[a:z], *(np.frombuffer(c, np.uint32).astype(np.int64) for c in (places, masks)), width)
+            out = gone(data[a:z], places, masks, width)
             removed, spans = int(out.sum()), int((out & ~np.append(False, out[:-1])).sum())
             text = data[a:z][~out].tobytes()
         n_removed.append(removed)
