@@ -52,7 +52,8 @@ PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 BEFORE = PERIOD - 1
 LAST = (1 << 63) - 1
 #: Flushes that must hold a sample before it is dealt by content, and most such samples.
-HOT_FLUSHES, HOT_KEYS = 64, 1 << 20
+#: A flush of the filter has some hundred documents, so a bucket's group stays below 100 MB.
+HOT_FLUSHES, HOT_KEYS = 1000, 1 << 20
 #: Records that a map task holds before it packs and emits them.
 FLUSH = 120_000
 KEY_BYTES = 4

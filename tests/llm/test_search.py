@@ -147,11 +147,11 @@ def with_ties():
     return [(k % 50, t) for k, t in enumerate([*texts, "z" * 700, "z" * 900 + "y", *texts[:4]])] + [(None, passage), (None, passage)]
 
 
-@pytest.mark.parametrize(("width", "hot"), [(50, 64), (50, 1), (50, 2), (77, 2)])
+@pytest.mark.parametrize(("width", "hot"), [(50, 1000), (50, 1), (50, 2), (77, 2)])
 def test_suffix_dedup(spark, documents, monkeypatch, width, hot):
     monkeypatch.setattr(suffix_dedup, "HOT_FLUSHES", hot)
     some = spark.createDataFrame(with_ties(), "doc_id long, text string").repartition(5)
-    for table in (some, documents)[: 2 if hot == 64 else 1]:
+    for table in (some, documents)[: 2 if hot == 1000 else 1]:
         rows = [(r.doc_id, r.text) for r in table.collect()]
         got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicated(table, width=width).collect()]
         assert sorted(got) == without_strings(rows, width)
