@@ -62,6 +62,7 @@ SAMPLE, STRING, KNOWN = 0, 1, 2
 #: Set in an answer's mask if its document holds the same context elsewhere too.
 AGAIN = 1 << 31
 _CHUNK = U64(0x2545F4914F6CDD1D)
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 _PACKED = [("bucket", pa.int32()), ("kind", pa.int32()), ("owners", pa.binary()), ("owner", pa.binary()), ("bytes", pa.binary()), ("places", pa.binary()), ("masks", pa.binary())]
 PACKED = "bucket int, kind int, owners binary, owner binary, bytes binary, places binary, masks binary"
@@ -211,7 +212,7 @@ class _Flush:
             some = left[deal[a:z]]
             who, local = np.unique(owner[some], return_inverse=True)
             at = int(bucket[deal[a]])
-            yield at, kind, owners[who].tobytes(), local.astype(np.uint32).tobytes(), rows[some].tobytes(), place[some].astype(np.uint32).tobytes(), (mask[some] | twice[some]).astype(np.uint32).tobytes()
+            yield at, kind, owners[who].tobytes(), local.astype(np.uint32).tobytes(), _ZSTD.compress(rows[some].tobytes(), asbytes=True), place[some].astype(np.uint32).tobytes(), (mask[some] | twice[some]).astype(np.uint32).tobytes()
 
 
 def _answers(owners: np.ndarray, owner: np.ndarray, place: np.ndarray, mask: np.ndarray, n_parts: int, kind: int | None = None) -> Iterator[tuple]:
@@ -241,7 +242,11 @@ def _gathered(table: pa.Table, width: int | None) -> tuple[np.ndarray, ...]:
         owner.append(np.frombuffer(local, np.uint32).astype(np.int64) + n)
         n += len(owners[-1])
     numbers = [np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint32).astype(np.int64) for c in ("places", "masks")]
-    rows = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(-1, width) if width else None
+    rows = None
+    if width:
+        sizes = [len(local) // 4 * width for local in table.column("owner").to_pylist()]
+        raw = [_ZSTD.decompress(c, n, asbytes=True) for c, n in zip(table.column("bytes").to_pylist(), sizes, strict=True)]
+        rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
     return np.concatenate(owners), np.concatenate(owner), rows, *numbers
 
 
