@@ -62,26 +62,15 @@ def is_complex(word: Column, syllables: Column) -> Column:
 
 
 def text_stats(text: Column) -> Column:
-    """struct(sentences, words, syllables, letters, complex_words); a null text has none."""
-    text = F.coalesce(text, F.lit(""))
-
-    def counted(found: Column) -> Column:
-        each = F.transform(found, lambda w: F.struct(w.alias("w"), F.greatest(F.lit(1), raw_syllables(w)).cast("long").alias("n")))
-        marked = F.transform(each, lambda c: F.struct(c.n.alias("n"), is_complex(c.w, c.n).cast("long").alias("hard")))
-        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("hard"))
-        folded = F.aggregate(marked, zero, lambda s, c: F.struct((s.n + c.n).alias("n"), (s.hard + c.hard).alias("hard")))
-        return let(
-            folded,
-            lambda sums: F.struct(
-                F.size(sentences(text)).cast("long").alias("sentences"),
-                F.size(found).cast("long").alias("words"),
-                sums.n.alias("syllables"),
-                F.length(F.regexp_replace(text, r"\P{L}", "")).cast("long").alias("letters"),
-                sums.hard.alias("complex_words"),
-            ),
-        )
-
-    return let(words(text), counted)
+    """struct(sentences, words, syllables, letters, complex_words); a null text has none.
+
+    One Arrow pass that keeps what it knows of a word: as expressions, some ten patterns a
+    word are interpreted, which took about 50 times as long.  Marked as not deterministic
+    only so that a filter on the result isn't pushed below it, which would run it twice.
+    """
+    from lexigrade.functions.counting import counted
+
+    return counted(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def _formula(stats: Column, value: Column) -> Column:

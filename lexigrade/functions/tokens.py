@@ -25,11 +25,15 @@ def part_of_speech(token: Column) -> Column:
     return tag.otherwise(F.lit("NOUN"))
 
 
-def tokens(text: Column) -> Column:
+def token_texts(text: Column) -> Column:
     """Tokens of every line in order, contractions split off."""
     apart = F.regexp_replace(F.coalesce(text, F.lit("")), CONTRACTION, "$1 $2$3")
-    found = F.regexp_extract_all(apart, F.lit(TOKEN), F.lit(0))
-    return F.transform(found, lambda t: F.struct(t.alias("text"), F.lower(t).alias("normal"), part_of_speech(t).alias("pos")))
+    return F.regexp_extract_all(apart, F.lit(TOKEN), F.lit(0))
+
+
+def tokens(text: Column) -> Column:
+    """Tagged tokens of every line in order."""
+    return F.transform(token_texts(text), lambda t: F.struct(t.alias("text"), F.lower(t).alias("normal"), part_of_speech(t).alias("pos")))
 
 
 def is_word(token: Column) -> Column:

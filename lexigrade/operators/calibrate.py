@@ -24,7 +24,7 @@ def features(results: dict[str, Column], words: Column, label: Column) -> Column
     return F.struct(
         F.array(*(difficulty(results[m].value, easy, hard) for m, _, easy, hard, _ in PRIORS)).alias("difficulty"),
         F.array(*((blend if ramped else F.lit(1.0)) for *_, ramped in PRIORS)).alias("scale"),
-        F.array_position(F.array(F.lit("easy"), F.lit("ok"), F.lit("hard")), label).cast("int").alias("label"),
+        (F.array_position(F.array(F.lit("easy"), F.lit("ok"), F.lit("hard")), label) - 1).cast("int").alias("label"),
     )
 
 

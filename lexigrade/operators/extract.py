@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -109,7 +110,10 @@ def _target(text: str, end: int, syntax: Syntax) -> str | None:
     """Name of the declaration on the lines after a comment, past decorators and attributes."""
     if not syntax.declaration:
         return None
-    for line in text[end:].split("\n")[1:]:
+    at = text.find("\n", end)
+    while at >= 0:
+        stop = text.find("\n", at + 1)
+        line, at = text[at + 1 : stop if stop >= 0 else len(text)], stop
         if not line.strip():
             return None
         if re.match(r"\s*(?:@\w|#\[|\[[A-Z])", line):
@@ -124,12 +128,16 @@ def _known() -> tuple[frozenset, frozenset]:
     return frozenset(licenses.WORDS), frozenset(licenses.TRIGRAMS)
 
 
+def _has(pattern: str, text: str) -> bool:
+    return re.search(pattern, text, re.ASCII) is not None
+
+
 def is_license_text(body: str) -> bool:
-    return bool(re.search(licenses.BOILERPLATE.replace(r"\z", r"\Z"), body) or (re.search(licenses.NOTICE, body) and re.search(licenses.NAME.replace(r"\z", r"\Z"), body)))
+    return _has(licenses.BOILERPLATE, body) or (_has(licenses.NOTICE, body) and _has(licenses.NAME, body))
 
 
 def is_license_line(line: str) -> bool:
-    if any(re.search(p.replace(r"\z", r"\Z"), line) for p in (licenses.NOTICE, licenses.BOILERPLATE, licenses.NAME)):
+    if any(_has(p, line) for p in (licenses.NOTICE, licenses.BOILERPLATE, licenses.NAME)):
         return True
     known, triples = _known()
     words = re.findall("[a-z0-9]+", line.lower())
@@ -226,14 +234,70 @@ def docstrings(text: str) -> list[tuple[int, int, str, str | None]]:
     return out
 
 
-def comments(text: str, language: str) -> list[dict]:
-    """Grouped comments of a file, in document order, without directives, licenses and code."""
+def loose_docstrings(text: str) -> list[tuple[int, int, str, str | None]]:
+    """Docstrings of a file that doesn't parse: strings alone on their lines below a file's start, def or class."""
+    pattern, _ = scanner("python")
+    out, at = [], 0
+    while found := pattern.search(text, at):
+        start, end = found.span()
+        at = max(end, start + 1)
+        line = text.rfind("\n", 0, start) + 1
+        if found.lastgroup != "string" or text[line:start].strip() or text[end : (text + "\n").index("\n", end)].strip():
+            continue
+        above = [s for s in text[:line].split("\n") if s.strip() and not s.lstrip().startswith("#")]
+        owner = re.match(r"\s*(?:async\s+)?(?:def|class)\s+(\w+).*:\s*$", above[-1]) if above else None
+        if owner or not above:
+            row = text.count("\n", 0, start)
+            out.append((row, row + text.count("\n", start, end), text[start:end], owner.group(1) if owner else None))
+    return out
+
+
+class Enclosing:
+    """Names of the declarations whose braces enclose places of a text."""
+
+    _NAMED = re.compile(r"\b(?:fn|struct|enum|trait|mod|union|impl(?:\s*<[^>]*>)?(?:\s+[\w:<>, ]+\s+for)?)\s+(\w+)")
+
+    def __init__(self, text: str, language: str):
+        pattern, syntax = scanner(language)
+        self.places, self.names = [0], [None]
+        stack: list[str | None] = []
+        at = head = 0
+        while at < len(text):
+            found = pattern.search(text, at)
+            stop = found.start() if found else len(text)
+            for edge in re.finditer(r"[{};]", text[at:stop]):
+                place = at + edge.start()
+                if edge.group() == "{":
+                    named = self._NAMED.search(text, head, place)
+                    stack.append(named.group(1) if named else stack[-1] if stack else None)
+                elif edge.group() == "}" and stack:
+                    stack.pop()
+                head = place + 1
+                self.places.append(place)
+                self.names.append(stack[-1] if stack else None)
+            if not found:
+                break
+            end = found.end()
+            if found.lastgroup == "block":
+                kind = max((b for b in syntax.block if text.startswith(b[0], stop)), key=lambda b: len(b[0]))
+                end = _block_end(text, stop, *kind)
+            at = max(end, stop + 1)
+
+    def __call__(self, place: int) -> str | None:
+        return self.names[bisect_right(self.places, place) - 1]
+
+
+def comments(text: str, language: str, errors: list[str] | None = None) -> list[dict]:
+    """Grouped comments of a file, in document order, without directives, licenses and code.
+
+    What kept a part of the file from being read exactly goes to ``errors``.
+    """
     _, syntax = scanner(language)
     groups: list[list[Span]] = []
     line_start = lambda s: text.rfind("\n", 0, s.start) + 1
     trailing = lambda s: text[line_start(s) : s.start].strip() != ""
     for span in spans(text, language):
-        if (span.start == 0 and span.raw.startswith("#!")) or (syntax.directive and re.match(syntax.directive, body_of(span, syntax))):
+        if (span.start == 0 and span.raw.startswith("#!")) or (syntax.directive and re.match(syntax.directive, body_of(span, syntax), re.ASCII)):
             continue
         last = groups[-1][-1] if groups else None
         joins = last and not last.block and not span.block and opener_of(last, syntax) == opener_of(span, syntax) and not trailing(last) and not trailing(span) and span.row == last.end_row + 1
@@ -241,23 +305,35 @@ def comments(text: str, language: str) -> list[dict]:
             groups[-1].append(span)
         else:
             groups.append([span])
-    out = []
+    out: list[dict] = []
+    inside: Enclosing | None = None
     for group in groups:
         bodies = [body_of(s, syntax) for s in group]
         for part in cut_groups(bodies):
             some, body = [group[k] for k in part], "\n".join(bodies[k] for k in part)
             first = some[0]
-            if body.strip() == "" or is_license_text(body) or (not first.after_code and re.search(licenses.LICENSE.replace(r"\z", r"\Z"), body)):
+            if body.strip() == "" or is_license_text(body) or (not first.after_code and _has(licenses.LICENSE, body)):
                 continue
             doc = any(first.raw.startswith(p) for p in syntax.doc)
             if not doc and _looks_like_code(body, language):
                 continue
             kind = "doc" if doc else "block" if first.block else "line"
-            target = None if trailing(first) else _target(text, some[-1].end, syntax)
+            if language == "rust" and first.raw.startswith(("//!", "/*!")):  # inner docs belong to what encloses them
+                inside = inside or Enclosing(text, language)
+                target = inside(first.start)
+            else:
+                target = None if trailing(first) else _target(text, some[-1].end, syntax)
             out.append(dict(start_row=first.row, start_column=first.start - line_start(first), end_row=some[-1].end_row, kind=kind, raw_text="\n".join(s.raw for s in some), target_symbol=target, approx=language not in EXACT))
     if language == "python":
-        for a, z, raw, name in docstrings(text):
-            out.append(dict(start_row=a, start_column=0, end_row=z, kind="doc", raw_text=raw, target_symbol=name, approx=False))
+        exact = True
+        try:
+            found = docstrings(text)
+        except (SyntaxError, ValueError, RecursionError) as e:
+            exact, found = False, loose_docstrings(text)
+            if errors is not None:
+                errors.append(f"{type(e).__name__}: {e}"[:500])
+        for a, z, raw, name in found:
+            out.append(dict(start_row=a, start_column=0, end_row=z, kind="doc", raw_text=raw, target_symbol=name, approx=not exact))
         out.sort(key=lambda c: (c["start_row"], c["start_column"]))
     return out
 
@@ -276,7 +352,9 @@ def comments_of(files: DataFrame, errors: bool = False) -> DataFrame:
                 if language not in SYNTAXES or not text:
                     continue
                 try:
-                    rows += [dict(path=path, language_id=language, error=None, **c) for c in comments(text, language)]
+                    errors_: list[str] = []
+                    rows += [dict(path=path, language_id=language, error=None, **c) for c in comments(text, language, errors_)]
+                    rows += [dict(path=path, language_id=language, error=e) for e in errors_]
                 except Exception as e:  # noqa: BLE001  the file's failure is its result
                     rows.append(dict(path=path, language_id=language, error=f"{type(e).__name__}: {e}"[:500]))
             names = [("path", pa.string()), ("language_id", pa.string()), *_FIELDS, ("error", pa.string())]

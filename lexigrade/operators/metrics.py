@@ -31,6 +31,17 @@ class Context:
     vocabulary: Column = field(default_factory=_none)
     zipf: Callable[[Column], Column] = lambda word: F.lit(None).cast("double")
     known: Callable[[Column], Column] = lambda word: F.lit(False)
+    #: Whether tokens carry a lexicon's answers (``zipf`` and ``flags``) themselves.
+    looked: bool = False
+
+    def zipf_of(self, token: Column) -> Column:
+        return token.zipf if self.looked else self.zipf(token.normal)
+
+    def knows(self, token: Column) -> Column:
+        return token.flags.bitwiseAND(1) == 1 if self.looked else self.known(token.normal)
+
+    def knows_acronym(self, token: Column, acronym: Column) -> Column:
+        return token.flags.bitwiseAND(2) == 2 if self.looked else self.known(F.lower(acronym))
 
 
 def _result(value: Column, when: Column, reason: Column) -> Column:
@@ -50,7 +61,7 @@ def noun_stack(tokens: Column, context: Context) -> Column:
         return F.struct(run.alias("run"), F.when(F.size(run) > F.size(state.best), run).otherwise(state.best).alias("best"))
 
     best = F.aggregate(tokens, start, step).best
-    return _result(F.size(best), F.size(best) >= 3, F.concat(F.lit('Noun stack: "'), F.array_join(best, " "), F.lit('"')))
+    return let(best, lambda b: _result(F.size(b), F.size(b) >= 3, F.concat(F.lit('Noun stack: "'), F.array_join(b, " "), F.lit('"'))))
 
 
 def clause_count(tokens: Column, context: Context) -> Column:
@@ -66,32 +77,33 @@ def clause_count(tokens: Column, context: Context) -> Column:
             (state.links + link.cast("long")).alias("links"),
         )
 
-    end = F.aggregate(tokens, start, step)
-    value = F.greatest(end.groups, end.links + (end.groups > 0).cast("long"))
-    return _result(value, value >= 3, F.concat(value.cast("string"), F.lit(" clauses in one comment")))
+    value = let(F.aggregate(tokens, start, step), lambda end: F.greatest(end.groups, end.links + (end.groups > 0).cast("long")))
+    return let(value, lambda v: _result(v, v >= 3, F.concat(v.cast("string"), F.lit(" clauses in one comment"))))
 
 
 def rated_words(tokens: Column, context: Context) -> Column:
     """Plain words that neither the code nor the workspace uses."""
     names = F.array_union(identifier_words(context.identifiers), context.vocabulary)
-    return let(names, lambda n: F.filter(tokens, lambda t: is_word(t) & t.normal.rlike(r"^[a-z]+\z") & ~F.array_contains(n, t.normal) & ~context.known(t.normal)))
+    return let(names, lambda n: F.filter(tokens, lambda t: is_word(t) & t.normal.rlike(r"^[a-z]+\z") & ~F.array_contains(n, t.normal) & ~context.knows(t)))
 
 
 def _rated(tokens: Column, context: Context) -> Column:
-    return F.transform(rated_words(tokens, context), lambda t: F.struct(F.coalesce(context.zipf(t.normal), F.lit(L.UNLISTED_ZIPF)).alias("zipf"), t.text.alias("text")))
+    return F.transform(rated_words(tokens, context), lambda t: F.struct(F.coalesce(context.zipf_of(t), F.lit(L.UNLISTED_ZIPF)).alias("zipf"), t.text.alias("text")))
 
 
 def mean_zipf(tokens: Column, context: Context) -> Column:
-    rated = _rated(tokens, context)
-    total = F.aggregate(rated, F.lit(0.0), lambda s, r: s + r.zipf)
-    value = F.when(F.size(rated) == 0, F.lit(L.COMMON_ZIPF)).otherwise(js_round(F.try_divide(total, F.size(rated)), 2))
-    return _result(value, F.lit(False), F.lit(""))
+
+    def mean(rated: Column) -> Column:
+        total = F.aggregate(rated, F.lit(0.0), lambda s, r: s + r.zipf)
+        return F.when(F.size(rated) == 0, F.lit(L.COMMON_ZIPF)).otherwise(js_round(F.try_divide(total, F.size(rated)), 2))
+
+    return _result(let(_rated(tokens, context), mean), F.lit(False), F.lit(""))
 
 
 def min_zipf(tokens: Column, context: Context) -> Column:
     start = F.struct(F.lit(L.COMMON_ZIPF).alias("zipf"), F.lit(None).cast("string").alias("text"))
-    best = F.aggregate(_rated(tokens, context), start, lambda s, r: F.when(r.zipf < s.zipf, r).otherwise(s))
-    return _result(best.zipf, best.text.isNotNull() & (best.zipf < 3), F.concat(F.lit('Rare word: "'), best.text, F.lit('"')))
+    least = F.aggregate(_rated(tokens, context), start, lambda s, r: F.when(r.zipf < s.zipf, r).otherwise(s))
+    return let(least, lambda best: _result(best.zipf, best.text.isNotNull() & (best.zipf < 3), F.concat(F.lit('Rare word: "'), best.text, F.lit('"'))))
 
 
 def lexical_density(tokens: Column, context: Context) -> Column:
@@ -118,8 +130,7 @@ def dangling_reference(tokens: Column, context: Context) -> Column:
         return F.struct((state.named | noun).alias("named"), F.when(found, F.array_append(state.dangling, token.text)).otherwise(state.dangling).alias("dangling"))
 
     places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-    dangling = F.aggregate(places, start, step).dangling
-    return _result(F.size(dangling), F.size(dangling) > 0, F.concat(F.lit('"'), F.get(dangling, F.lit(0)), F.lit('" has no antecedent')))
+    return let(F.aggregate(places, start, step).dangling, lambda d: _result(F.size(d), F.size(d) > 0, F.concat(F.lit('"'), F.get(d, F.lit(0)), F.lit('" has no antecedent'))))
 
 
 def _initials(words: Column) -> Column:
@@ -150,13 +161,13 @@ def _defined_in_place(tokens: Column, place: Column, acronym: Column) -> Column:
 
 
 def undefined_acronyms(tokens: Column, context: Context) -> Column:
-    known = F.transform(F.array_union(identifier_words(context.identifiers), context.vocabulary), F.upper)
+    names = F.transform(F.array_union(identifier_words(context.identifiers), context.vocabulary), F.upper)
     places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-    found = F.transform(places, lambda i: F.struct(i.alias("place"), F.regexp_extract(F.get(tokens, i).text, r"^([A-Z]{2,})s?\z", 1).alias("acronym")))
-    open_ = F.filter(found, lambda f: (f.acronym != "") & ~f.acronym.isin(L.KNOWN_ACRONYMS) & ~F.array_contains(known, f.acronym) & ~context.known(F.lower(f.acronym)))
-    names = F.array_distinct(F.transform(F.filter(open_, lambda f: ~_defined_in_place(tokens, f.place, f.acronym)), lambda f: f.acronym))
-    value = F.size(names)
-    return _result(value, value > 0, F.concat(F.when(value > 1, F.lit("Undefined acronyms: ")).otherwise(F.lit("Undefined acronym: ")), F.array_join(names, ", ")))
+    spelt = F.transform(places, lambda i: F.struct(i.alias("place"), F.regexp_extract(F.get(tokens, i).text, r"^([A-Z]{2,})s?\z", 1).alias("acronym"), F.get(tokens, i).alias("token")))
+    found = F.filter(spelt, lambda f: (f.acronym != "") & ~f.acronym.isin(L.KNOWN_ACRONYMS))
+    open_ = let(names, lambda known: F.filter(found, lambda f: ~F.array_contains(known, f.acronym) & ~context.knows_acronym(f.token, f.acronym)))
+    named = F.array_distinct(F.transform(F.filter(open_, lambda f: ~_defined_in_place(tokens, f.place, f.acronym)), lambda f: f.acronym))
+    return let(named, lambda n: _result(F.size(n), F.size(n) > 0, F.concat(F.when(F.size(n) > 1, F.lit("Undefined acronyms: ")).otherwise(F.lit("Undefined acronym: ")), F.array_join(n, ", "))))
 
 
 def comment_length(tokens: Column, context: Context) -> Column:

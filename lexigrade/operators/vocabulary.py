@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigrade.functions import lexicons as L
 
 #: A plain word, lower-cased.
 PLAIN = "[a-z]+"
-#: Slots of a lexicon: some three words each at most of the 70,000 that it can hold.
-SLOTS = 1 << 14
+#: Words that a frequency table holds.
+MOST_RATED = 50_000
 
 
 def plain_words(text: Column) -> Column:
@@ -41,7 +45,7 @@ def removed(pairs: DataFrame, path: str) -> DataFrame:
     return pairs.where(~((F.col("file") == path) | F.startswith(F.col("file"), F.lit(path + "/"))))
 
 
-def zipf_table(texts: DataFrame, text: str = "text", most: int = 50_000) -> DataFrame:
+def zipf_table(texts: DataFrame, text: str = "text", most: int = MOST_RATED) -> DataFrame:
     """(word, zipf): log10 of occurrences per thousand million words, of the most frequent."""
     words = texts.select(F.explode(plain_words(F.col(text))).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
@@ -50,7 +54,7 @@ def zipf_table(texts: DataFrame, text: str = "text", most: int = 50_000) -> Data
     return rated.orderBy(F.desc("n"), "word").limit(most).select("word", "zipf")
 
 
-def zipf_of_buckets(buckets: DataFrame, most: int = 50_000) -> DataFrame:
+def zipf_of_buckets(buckets: DataFrame, most: int = MOST_RATED) -> DataFrame:
     """(word, zipf) from ``buckets(bucket, words)``: bucket i is (900 - i) / 100; first of repeated words."""
     words = buckets.select("bucket", F.posexplode("words").alias("place", "word")).where(F.col("word").rlike(r"^[a-z]+\z"))
     first = words.groupBy("word").agg(F.min(F.struct("bucket", "place")).alias("at"))
@@ -67,23 +71,35 @@ def rated_words(texts: DataFrame, key: str, vocabulary_: DataFrame, zipf: DataFr
     return unknown.join(F.broadcast(zipf), "word", "left").withColumn("zipf", F.coalesce("zipf", F.lit(L.UNLISTED_ZIPF)))
 
 
-def _slot(word: Column) -> Column:
-    return F.pmod(F.hash(word), F.lit(SLOTS))
+class Lexicon:
+    """Frequencies and vocabulary, broadcast as one table: 70,000 words at the most."""
 
+    def __init__(self, zipf: DataFrame, vocabulary_: DataFrame):
+        words = {r.word: r.zipf for r in zipf.limit(MOST_RATED).collect()}
+        known = {r.word for r in vocabulary_.limit(L.MAX_VOCABULARY).collect()}
+        self.table = zipf.sparkSession.sparkContext.broadcast((words, known))
 
-def lexicon(zipf: DataFrame, vocabulary_: DataFrame) -> Column:
-    """Frequencies and vocabulary as one hash table, for ``entry_of``.
+    def entries(self, texts: Column) -> Column:
+        """struct(zipf, flags) of an array of tokens' texts: an array of frequencies, null where
+        a token isn't listed, and one of flags: 1 if it is known, 2 if the acronym it is is."""
+        table = self.table
 
-    Both tables are bounded.  The value is a scalar subquery: made once and sent with the
-    stage that reads it, it costs a row a look-up by hash, no shuffle and no copy.
-    """
-    words = zipf.join(vocabulary_.select("word", F.lit(True).alias("known")), "word", "full")
-    entry = F.struct("word", "zipf", F.coalesce("known", F.lit(False)).alias("known"))
-    slots = words.groupBy(_slot(F.col("word")).alias("slot")).agg(F.collect_list(entry).alias("entries"))
-    every = zipf.sparkSession.range(SLOTS).join(slots, F.col("id") == F.col("slot"), "left")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "entries"))), lambda s: s.entries)).scalar()
+        def looked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            words, known = table.value
+            acronym = re.compile("([A-Z]{2,})s?")
+
+            def flags(token: str) -> int:
+                spelt = acronym.fullmatch(token)
+                return (token.lower() in known) | (spelt is not None and spelt.group(1).lower() in known) << 1
+
+            for batch in batches:
+                rows = [list(tokens) for tokens in batch]
+                yield pd.DataFrame({"zipf": [[words.get(t.lower()) for t in tokens] for tokens in rows], "flags": [[flags(t) for t in tokens] for tokens in rows]})
+
+        looked.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+        return F.pandas_udf(looked, "zipf array<double>, flags array<int>")(texts)
 
 
-def entry_of(lexicon_: Column, word: Column) -> Column:
-    """struct(word, zipf, known) of a word, or null."""
-    return F.get(F.filter(F.get(lexicon_, _slot(word)), lambda e: e.word == word), F.lit(0))
+def lexicon(zipf: DataFrame, vocabulary_: DataFrame) -> Lexicon:
+    """The lexicon of ``zipf(word, zipf)`` and ``vocabulary_(word)``."""
+    return Lexicon(zipf, vocabulary_)

@@ -55,7 +55,7 @@ def test_license_and_structure(spark):
 
 @pytest.mark.parametrize(
     ("text", "symbol", "yes"),
-    [("Gets the user name.", "getUserName", True), ("Returns the maximum length", "max_len", True), ("Flushes stale entries to disk", "getUserName", False), ("", "x", False)],
+    [("Gets the user name.", "getUserName", True), ("Returns the maximum length", "max_len", False), ("The maximum length", "max_len", True), ("Flushes stale entries to disk", "getUserName", False), ("", "x", False)],
 )
 def test_redundancy(spark, text, symbol, yes):
     assert one(spark, redundancy(F.col("t"), F.col("s")), t=text, s=symbol).redundant is yes
