@@ -13,7 +13,8 @@ group of copies is treated apart, since only ids order the rows.
 
 Cases: null texts have size 1 and the checksum of no bytes; a null id sorts first;
 repeated rows get different numbers, and which of equal rows gets which can't be told
-apart; an empty table gives an empty result; other columns are ignored unless kept.
+apart; an empty table gives an empty result; other columns are ignored unless kept.  A
+kept column of a made one's name (``size``, ``shard`` ...) comes as that name with ``_before``.
 """
 
 from __future__ import annotations
@@ -80,14 +81,14 @@ def sharded(documents: DataFrame, *, shards: int = 8, seed: int = 20240229, keep
     scratch = Scratch(documents.sparkSession, "feistel")
     text = F.col("text").cast("string")
     made = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    kept = [c for c in keep or [] if c not in made]
+    kept = [c for c in keep or [] if c != "doc_id"]
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("_tie"),
         F.monotonically_increasing_id().alias("_nth"),
-        *kept,
+        *[F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept))).alias("_kept")] * bool(kept),  # as one, so that no name of theirs meets one of ours
     )
     rows, n = numbered(rows, ["doc_id", "text_crc32", "_tie", "_nth"], scratch, "_row")
     # only the numbers go to Python; texts and other kept columns stay where they are
@@ -101,5 +102,5 @@ def sharded(documents: DataFrame, *, shards: int = 8, seed: int = 20240229, keep
         (F.col("_at") % shards).cast("int").alias("shard"),
         F.expr(f"_at div {shards}").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-        *kept,
+        *(F.col(f"_kept.k{i}").alias(f"{c}_before" if c in made else c) for i, c in enumerate(kept)),
     )
