@@ -38,7 +38,7 @@ def normal(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode().lower()) if text else []
 
 
-def automaton(items: list[tuple[int | None, str | None]], width: int) -> ahocorasick.Automaton:
+def automaton(items: list[tuple[int | str | None, str | None]], width: int) -> ahocorasick.Automaton:
     """All windows of the items; a value is (words of the window, ids of its items)."""
     found: dict[str, tuple[int, set]] = {}
     for item, text in items:
@@ -76,7 +76,7 @@ def _digest(n_words: int, spans: list[tuple[int, int]], items: set) -> tuple:
     return n_words, n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0
 
 
-def _parts(benchmark: DataFrame, part_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
+def _parts(benchmark: DataFrame, part_bytes: int) -> Iterator[list[tuple[int | str | None, str]]]:
     """Benchmark items in lists of about part_bytes; one item at least in each."""
     part, size = [], 0
     for item, text in benchmark.select("item_id", "text").where("text is not null").distinct().toLocalIterator():
@@ -134,7 +134,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, *, width: int = 10
         return rows.mapInArrow(mapped, f"doc_id long, {FOUND}")
 
     rows = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    every = [rows.mapInArrow(_spans_of(scan), "rid long, doc_id long, n_words long, spans array<int>, items array<long>") for scan in scanners]
+    every = [rows.mapInArrow(_spans_of(scan), "rid long, doc_id long, n_words long, spans array<int>, items array<string>") for scan in scanners]
     both = every[0]
     for one in every[1:]:
         both = both.union(one)
@@ -154,8 +154,8 @@ def _spans_of(scan: Scanner):
         for b in batches:
             found = [scan(t) for t in _texts(b.column(2))]
             spans = [[x for s in set(f[1]) for x in s] for f in found]
-            items = [[x for x in f[2] if x is not None] for f in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.int64()))], names=["rid", "doc_id", "n_words", "spans", "items"])
+            items = [[str(x) for x in f[2] if x is not None] for f in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["rid", "doc_id", "n_words", "spans", "items"])
 
     return mapped
 
