@@ -25,6 +25,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -308,18 +309,41 @@ def model() -> Model:
     return Model()
 
 
+class _Taken:
+    """Disjoint stretches of a text, kept in order; a look-up is a bisection."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        at = bisect_left(self.starts, b) - 1
+        return at >= 0 and self.ends[at] > a
+
+    def add(self, a: int, b: int) -> None:
+        at = bisect_left(self.starts, a)
+        self.starts.insert(at, a)
+        self.ends.insert(at, b)
+
+
 def all_spans(text: str, base: list[Span], scorer: Model) -> list[Span]:
     """Base spans and the candidates that reach their threshold, none overlapping a better one."""
-    more = [s for s in dict.fromkeys(candidates(text)) if not any(s[1] < b and a < s[2] for _, a, b in base)]
+    taken = _Taken(base)
+    more = [s for s in dict.fromkeys(candidates(text)) if not taken.meets(s[1], s[2])]
     kept = list(base)
     if more:
         p = scorer.probabilities(text, more)
-        taken: list[Span] = []
         for k in np.argsort(-p, kind="stable"):
             kind, a, b = more[k]
-            if p[k] >= scorer.thresholds[kind] and not any(a < y and x < b for _, x, y in taken):
-                taken.append(more[k])
-        kept += taken
+            if p[k] >= scorer.thresholds[kind] and not taken.meets(a, b):
+                taken.add(a, b)
+                kept.append(more[k])
     return sorted(kept, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
