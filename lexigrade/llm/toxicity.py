@@ -9,11 +9,12 @@ toxic documents than in clean ones, and an L1 step keeps those few that are need
 Training takes at most ``most`` labelled documents of each label, those of the least
 hash of their id among rows whose crc32(id) mod 5 isn't 0, so the sample is the same
 in every run; its bound is a parameter, and features reach the driver, no texts.  Scoring covers every row and the whole text in a constant number of NumPy
-passes; the model (at most ``vocabulary`` words) goes along with the tasks.
+passes; the model (the words that the fit keeps) goes along with the tasks.
 
 Cases: null and empty texts and texts without words score the model's score of an
 empty sentence; a null id isn't held out and never trains; labels that are null or
-without a document are ignored, contradicting labels of an id count as toxic; without
+without a document are ignored, contradicting labels of an id count as toxic; of rows that
+share an id the least text trains; without
 labels of both kinds every score is 0; repeated rows score alike.
 """
 
@@ -142,12 +143,12 @@ def _fold(doc: int | None) -> int | None:
     return None if doc is None else zlib.crc32(str(doc).encode()) % FOLDS
 
 
-def train(documents: DataFrame, labels: DataFrame, *, most: int = 2500, least_documents: int = 3, lift: float = 3.0, vocabulary: int = 20_000) -> Model:
+def train(documents: DataFrame, labels: DataFrame, *, most: int = 2500, least_documents: int = 3, lift: float = 3.0) -> Model:
     """The model of a bounded sample of the labelled rows outside the held-out fold.
 
     Executors count in how many toxic and clean documents of the sample a feature occurs;
-    the ``vocabulary`` most frequent ones with enough lift reach the driver, and then the
-    sentences of the sample as numbers of those features.
+    those with enough lift reach the driver (the sample bounds how many there are), and then
+    the sentences of the sample as numbers of those features.
     """
     spark = documents.sparkSession
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
@@ -155,7 +156,7 @@ def train(documents: DataFrame, labels: DataFrame, *, most: int = 2500, least_do
     order = [F.xxhash64("doc_id"), "doc_id"]
     sample = marks.where("toxic = 1").orderBy(*order).limit(most).union(marks.where("toxic = 0").orderBy(*order).limit(most))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    texts = Scratch(spark, "toxicity").save(texts.select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]), "sample")
+    texts = Scratch(spark, "toxicity").save(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic"), "sample")
     totals = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
@@ -174,7 +175,7 @@ def train(documents: DataFrame, labels: DataFrame, *, most: int = 2500, least_do
 
     seen = texts.mapInArrow(counted, "feature long, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     odds = ((F.col("toxic") + 0.2) / totals[1]) / ((F.col("n") - F.col("toxic") + 0.2) / totals[0])
-    chosen = seen.where(F.col("toxic") >= least_documents).where(odds >= lift).orderBy(F.desc("toxic"), "feature").limit(vocabulary)
+    chosen = seen.where(F.col("toxic") >= least_documents).where(odds >= lift)
     words = np.sort(np.array([r.feature for r in chosen.select("feature").collect()], np.int64).view(np.uint64))
     if not len(words):
         return Model(words, np.zeros(0), -7.0)
