@@ -183,7 +183,7 @@ def answered(rows: DataFrame, ask: str, n_parts: int, *, width: int = 5, info_wi
     """
 
     def reduce(table: pa.Table) -> pa.Table:
-        keys, owner, many, older = [], [], [], [np.zeros(0, U64)]
+        keys, owner, many, older = [], [], [], []
         answers: list[tuple] = []
 
         def answer(ids: np.ndarray, told: list[bytes], info: np.ndarray | None) -> None:
@@ -196,7 +196,7 @@ def answered(rows: DataFrame, ask: str, n_parts: int, *, width: int = 5, info_wi
 
         for _, kind, i, c, k, m, info in zip(*(table.column(n).to_pylist() for n in _SCHEMA.names), strict=True):
             if kind == RUN:
-                older.append(_from_planes(k, width))
+                older += [_from_planes(k, width)] if k else []
                 continue
             i, c = np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)
             if kind == KNOWN:
@@ -216,8 +216,10 @@ def answered(rows: DataFrame, ask: str, n_parts: int, *, width: int = 5, info_wi
             if ask == "shared":
                 yes = ~np.concatenate(many)[order] & np.repeat(np.minimum.reduceat(o, start) < np.maximum.reduceat(o, start), size)
             else:
-                before = np.concatenate(older)
-                seen = np.isin(k[start], before, assume_unique=True) if len(before) else np.zeros(len(start), bool)
+                mine, seen = k[start], np.zeros(len(start), bool)
+                for run in older:  # both sides are sorted
+                    at = np.minimum(np.searchsorted(run, mine), len(run) - 1)
+                    seen |= run[at] == mine
                 yes = (o > np.repeat(np.minimum.reduceat(o, start), size)) | np.repeat(seen, size)
             bucket = table.column("bucket")[0].as_py()
             if often is not None and (size >= often).any():

@@ -8,8 +8,9 @@ and the bucket's, and verifies a match by 24 bits of a second, independent hash.
 batch's new hashes become the next run; when there are more than ``fan`` runs they are
 compacted into one.  Batches come in the order of ids, so all that a run holds is older.
 
-A match is 70 bits long at 64 buckets and gains a bit with each doubling of the input:
-among 10^8 windows that differ, one is taken for a copy with a chance of 10^-5.
+A match is 70 bits long at 64 buckets and gains a bit with each doubling of the input, up
+to 84 at 8 TB: among 10^8 windows that differ, one is taken for a copy with a chance of
+10^-5; among the 10^13 of 100 TB two or three false matches are to be expected.
 
 Cases: null and empty texts and texts of fewer words than a window keep all their words; a
 null id counts as the largest; rows that share an id don't count as copies of each other;
@@ -49,14 +50,14 @@ def _windows(column: pa.Array, width: int) -> tuple[np.ndarray, ...]:
 class FingerprintIndex:
     """Runs of window hashes in the shared folder; ``add`` asks about a batch and keeps its hashes."""
 
-    def __init__(self, spark: SparkSession, n_buckets: int, *, width: int = 13, fan: int = 4):
+    def __init__(self, spark: SparkSession, n_buckets: int, *, width: int = 13, fan: int = 2):
         self.scratch = Scratch(spark, "windows")
         self.spark, self.n_buckets, self.width, self.fan = spark, n_buckets, width, fan
         self.runs: list[str] = []
-        self.batches = 0
+        self.batches = self.compactions = 0
 
     def _run(self, name: str) -> DataFrame:
-        return self.spark.read.schema("bucket int, run binary").parquet(self.scratch.paths[name])
+        return self.scratch.read(name, "bucket int, run binary, is_run int").where("is_run = 1").select("bucket", "run")
 
     def add(self, batch: DataFrame, *, last: bool = False) -> DataFrame:
         """Packed answers on ``batch(id, text)``: windows that a smaller id or an older batch holds.
@@ -75,13 +76,13 @@ class FingerprintIndex:
             rows = rows.union(X.as_packed(self._run(name)))
         self.batches += 1
         name = f"batch{self.batches}"
-        found = self.scratch.save(X.answered(rows, "earlier", n_buckets, width=8, make_run=not last), name)
-        if not last:
-            self.scratch.save(found.where("run is not null").select("bucket", "run"), f"run{self.batches}")
-            self.runs.append(f"run{self.batches}")
+        found = X.answered(rows, "earlier", n_buckets, width=8, make_run=not last)
+        found = self.scratch.save(found.withColumn("is_run", F.col("run").isNotNull().cast("int")), name, by="is_run")
+        if not last:  # the run lies in a folder of its own beside the answers
+            self.runs.append(name)
             if len(self.runs) > self.fan:
                 self.compact()
-        return found
+        return found.where("is_run = 0")
 
     def compact(self) -> None:
         """Merge all runs into one; what they held stays, their files go."""
@@ -90,9 +91,17 @@ class FingerprintIndex:
             for name in self.runs[1:]:
                 every = every.union(self._run(name))
             merged = f"merged{self.batches}"
-            self.scratch.save(X.compacted(every, 8), merged)
-            self.scratch.drop(*self.runs)
+            self.scratch.save(X.compacted(every, 8).withColumn("is_run", F.lit(1)), merged, by="is_run")
+            for name in self.runs:
+                self.scratch.drop_part(name, "is_run=1")
             self.runs = [merged]
+            self.compactions += 1
+
+    def close(self) -> None:
+        """Drop the runs once no batch is to follow."""
+        for name in self.runs:
+            self.scratch.drop_part(name, "is_run=1")
+        self.runs = []
 
 
 def _batches(rows: DataFrame, n: int) -> list[DataFrame]:
@@ -105,14 +114,19 @@ def _batches(rows: DataFrame, n: int) -> list[DataFrame]:
     return [rows.where((F.lit(True) if a is None else F.col("id") > a) & (F.lit(True) if z is None else F.col("id") <= z)) for a, z in zip(edges, edges[1:], strict=False)]
 
 
-def deduplicated(documents: DataFrame, *, width: int = 13, batches: int = 2, texts: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) of every row, and the kept text if asked for."""
+def deduplicated(documents: DataFrame, *, width: int = 13, batches: int = 4, fan: int = 2, texts: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every row, and the kept text if asked for.
+
+    The rows come as ``batches`` ranges of ids, one after another; more than ``fan`` runs
+    are compacted, so with four batches the third's end merges three runs.
+    """
     spark = documents.sparkSession
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     n_buckets = buckets(documents)
-    index = FingerprintIndex(spark, n_buckets, width=width)
+    index = FingerprintIndex(spark, n_buckets, width=width, fan=fan)
     parts = _batches(rows, batches)
     answers = [index.add(part, last=k == len(parts) - 1) for k, part in enumerate(parts)]
+    index.close()
     every = answers[0]
     for one in answers[1:]:
         every = every.union(one)

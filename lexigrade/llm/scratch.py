@@ -59,6 +59,10 @@ class Scratch:
         for name in names:
             _delete(self.spark, self.paths.pop(name))
 
+    def drop_part(self, name: str, folder: str) -> None:
+        """Delete one folder of a table that was saved ``by`` a column."""
+        _delete(self.spark, f"{self.paths[name]}/{folder}")
+
 
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -1,6 +1,7 @@
 """Operators on rows, and the pipeline."""
 
 import collections
+import hashlib
 import random
 import re
 
@@ -30,6 +31,54 @@ def test_sharding(spark):
     assert feistel.sharded(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_sharding_by_the_rule(spark):
+    """Numbering, permutation, sizes and checksums against plain Python."""
+    import zlib
+
+    rows = [(k * 7 % 61, "é" * (k % 5) if k % 6 else None, "en", "s", 1) for k in range(61)]
+    got = {r.doc_id: r for r in feistel.sharded(spark.createDataFrame(rows, DOCS).repartition(4), seed=5).collect()}
+    n, mask = len(rows), (1 << 64) - 1
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+
+    def mix(h):
+        h ^= h >> 33
+        h = h * 0xFF51AFD7ED558CCD & mask
+        h ^= h >> 29
+        h = h * 0xC4CEB9FE1A85EC53 & mask
+        return h ^ h >> 32
+
+    def walked(at):
+        while True:
+            left, right = at >> half, at & (1 << half) - 1
+            for k in range(feistel.ROUNDS):
+                key = 5 * 0x9E3779B97F4A7C15 + k * 0xC2B2AE3D27D4EB4F + 1 & mask
+                left, right = right, left ^ mix(right + key & mask) & (1 << half) - 1
+            at = left << half | right
+            if at < n:
+                return at
+
+    for number, (doc, text, *_) in enumerate(sorted(rows)):
+        data, place = (text or "").encode(), walked(number)
+        want = (len(data) + 1, zlib.crc32(data), "rows", place % 8, place // 8, None)
+        assert tuple(got[doc])[1:] == want
+
+
+def test_sharding_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a", "in", 7, "x", "y"), (None, None, None, None, None, None), (1, "a", "in", 7, "x", "y")], "doc_id long, text string, size string, _row long, `a.b` string, slot string")
+    got = feistel.sharded(rows, keep=rows.columns)
+    assert got.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "text", "size_before", "_row", "a.b", "slot_before"]
+    assert sorted((r.size_before or "", r._row or 0, r["a.b"] or "", r.slot_before or "") for r in got.collect()) == [("", 0, "", ""), ("in", 7, "x", "y"), ("in", 7, "x", "y")]
+
+
+def test_decontamination_takes_ids_of_text_and_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "tiny item here", "x"), (1, "tiny item here", "x"), (2, "no " * 40_000 + "tiny item", "y")], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([("b", "tiny item"), ("a", "item here"), ("c", "other words")], "item_id string, text string")
+    for part_bytes in (1 << 20, 10):
+        got = decontaminate.contamination(docs, bench, part_bytes=part_bytes).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got) == [(1, 3, 3, 2), (1, 3, 3, 2), (2, 40_002, 2, 1)]
+        assert {r.items_sha256 for r in got if r.doc_id == 1} == {hashlib.sha256(b"a,b").hexdigest()}
+
+
 def test_decontamination(spark):
     docs = spark.createDataFrame([(1, "xx Alpha, beta GAMMA delta é one two three four five six yy"), (2, "nothing"), (3, None), (4, "tiny item here, tiny item")], "doc_id long, text string")
     bench = spark.createDataFrame([(10, "alpha beta gamma delta é one two three four five six"), (2, "tiny item"), (3, ""), (4, None), (None, "nothing")], "item_id long, text string")
@@ -66,6 +115,54 @@ def test_personal_data(spark):
     assert pii.redacted(rows).where("doc_id = 1").first().text == 'Mail [EMAIL] or call [PHONE], token = "[SECRET]", version 1.2.3'
 
 
+def test_personal_data_query_against_the_patterns(spark):
+    r = random.Random(6)
+    words = ["a.b@c.org", "10.2.3.4", "4111 1111 1111 1111", "+1 (275) 555-5927", "plain", "é", "999.1.1.1", "123-45-6789"]
+    texts = [" ".join(r.choice(words) for _ in range(30)) for _ in range(40)]
+    rows = spark.createDataFrame([(k % 30, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, spans string")
+    want = []
+    for k, text in enumerate(texts):
+        base = pii.base_spans(text)
+        digest = hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in base).encode()).hexdigest()
+        want.append((k % 30, *(sum(s[0] == kind for s in base) for kind in pii.BASE), digest))
+    got = pii.found(rows).collect()
+    assert sorted((x.doc_id, x.n_email, x.n_ip, x.n_card, x.n_phone, x.base_sha256) for x in got) == sorted(want)
+    assert pii.found(rows.where("false")).count() == 0
+
+
+def test_spans_are_chosen_in_time_near_linear():
+    import time
+
+    text = " ".join(f"u{k}@host.org token=XK29DJ38QQ71Z{k}" for k in range(8000))
+    began = time.process_time()
+    spans = pii.all_spans(text, pii.base_spans(text), pii.model())
+    assert len(spans) >= 8000 and all(a[2] <= b[1] for a, b in zip(spans, spans[1:], strict=False))
+    assert time.process_time() - began < 20
+
+
+def recalled(r, kind):
+    """A text with one planted span of the kind, and where it is."""
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    made = {
+        "email": lambda: ("write to ", f"{r.choice('abc')}{digits(3)}@mail{digits(2)}.example.org"),
+        "ip": lambda: ("host ", ".".join(str(r.randrange(256)) for _ in range(4))),
+        "phone": lambda: ("call ", f"+{r.randint(1, 9)} {digits(3)} {digits(4)} {digits(3)}"),
+        "secret": lambda: (r.choice(("token = ", 'password: "', "api_key=")), "".join(r.choice("ABCDEFGHKLMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz23456789") for _ in range(r.randint(16, 40)))),
+    }[kind]()
+    head = "the river runs below the old mill " * r.randint(1, 3) + made[0]
+    return head + made[1] + " and then goes on", len(head), len(head) + len(made[1])
+
+
+@pytest.mark.parametrize("kind", ["email", "ip", "phone", "secret"])
+def test_planted_personal_data_is_found(kind):
+    r = random.Random(13)
+    hit = 0
+    for _ in range(200):
+        text, a, b = recalled(r, kind)
+        hit += any(k == kind and x <= a and b <= y for k, x, y in pii.all_spans(text, pii.base_spans(text), pii.model()))
+    assert hit >= 180, hit
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 130, None, "late"), (2, 0, "system", "alone"), (None, 0, "ann", "x"), (1, None, "ann", "?")]
     got = {(r.conv_id, r.perspective, r.part): r for r in perspectives.rendered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
@@ -108,6 +205,22 @@ def test_toxicity(judged):
     assert toxicity.scored(docs, empty).where("score <> 0").count() == 0
 
 
+def test_toxicity_model_is_the_same_each_time(judged, spark):
+    docs, labels = judged
+    twice = docs.union(spark.createDataFrame([(k, f"rotten words {k}", "en", "s", 1) for k in range(0, 40)], DOCS))
+    one, two = (toxicity.train(twice.repartition(n), labels) for n in (2, 7))
+    assert (one.words == two.words).all() and np.allclose(one.weights, two.weights) and one.bias == pytest.approx(two.bias)
+
+
+def test_noisy_or_by_hand():
+    column, sentence, doc_of, labels = np.array([0, 1]), np.array([0, 2]), np.array([0, 0, 1]), np.array([1, 0])
+    weights, bias = toxicity.fit(column, sentence, doc_of, labels, 2)
+    assert weights[0] > 1 and weights[1] < 0.1  # the toxic document's word, not the clean one's
+    p = lambda z: 1 / (1 + np.exp(-z))
+    want = [1 - (1 - p(2.0)) * (1 - p(-1.0)), p(0.5), p(-7.0)]
+    assert np.allclose(toxicity.noisy_or(np.array([2.0, -1.0, 0.5]), np.array([0, 0, 1]), 3, -7.0), want)
+
+
 def test_mix_plans():
     tokens = {"a": 900, "b": 90, "c": 10, "d": 0}
     mix = mixing.plan(tokens, repeat_limit=3.0)

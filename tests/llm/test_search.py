@@ -102,12 +102,26 @@ def test_window_dedup(documents):
         gone = {j for k in range(len(w) - 12) if min(held[tuple(w[k : k + 13])]) < key(row) for j in range(k, k + 13)}
         kept = " ".join(x for j, x in enumerate(w) if j not in gone)
         want.append((str(row.doc_id), len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    for batches in (1, 3):
+    for batches in (1, 4):
         got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in fingerprint_index.deduplicated(documents, batches=batches).collect()]
         assert sorted(got) == sorted(want)
     assert sum(w[2] for w in want) > 500
 
 
+def test_the_operator_compacts(documents, monkeypatch):
+    done = []
+    compact = fingerprint_index.FingerprintIndex.compact
+
+    def counting(index):
+        held = len(index.runs)
+        compact(index)
+        done.append((held, len(index.runs)))
+
+    monkeypatch.setattr(fingerprint_index.FingerprintIndex, "compact", counting)
+    fingerprint_index.deduplicated(documents)
+    assert done == [(3, 1)]
+
+
 def test_index_compacts(spark, documents):
     index = fingerprint_index.FingerprintIndex(spark, 4, width=3, fan=1)
     batch = spark.createDataFrame([(1, "a b c d")], "id long, text string")
