@@ -79,6 +79,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_log_structured_dedup": fingerprint_index.ORACLE_SQL,
+    "op3_difference_cover_dedup": suffix_dedup.ORACLE_SQL,
     "op6_cover_tree_near_dedup": cover_tree.ORACLE_SQL,
     "op7_perspective_rotation": perspectives.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,

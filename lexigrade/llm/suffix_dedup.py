@@ -455,3 +455,28 @@ def _cleaned(part: pa.RecordBatch, width: int, texts: bool) -> pa.RecordBatch:
     columns = [part.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return pa.RecordBatch.from_arrays([*columns, pa.array(kept_texts, pa.binary())] if texts else columns, names=[*names, "kept"] if texts else names)
+
+
+#: Every string of 50 bytes as hexadecimal digits; texts are cut in pieces first, as a cut far into a text is slow.
+ORACLE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS (
+  SELECT r, doc_id, 1000 * c + j AS k, substr(piece, 2 * j - 1, 100) AS s
+  FROM (SELECT r, doc_id, c, piece, unnest(generate_series(1, least(1000, len(piece) // 2 - 49))) AS j
+    FROM (SELECT r, doc_id, c, substr(h, 2000 * c + 1, 2098) AS piece
+      FROM (SELECT r, doc_id, h, unnest(generate_series(0, (len(h) // 2 - 50) // 1000)) AS c FROM docs WHERE len(h) >= 100)))
+), firsts AS (SELECT s, min(doc_id) AS low FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)
+), hits AS (SELECT r, k FROM strings JOIN firsts USING (s) WHERE doc_id > low
+), marked AS (SELECT r, k, k - lag(k) OVER (PARTITION BY r ORDER BY k) AS gap FROM hits
+), runs AS (
+  SELECT r, k, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY k) AS run FROM marked
+), spans AS (SELECT r, run, min(k) AS a, max(k) + 50 AS z FROM runs GROUP BY r, run
+), pieces AS (
+  SELECT r, run, z, substr(h, 2 * coalesce(lag(z) OVER w, 1) - 1, 2 * (a - coalesce(lag(z) OVER w, 1))) AS before, z - a AS n
+  FROM spans JOIN docs USING (r) WINDOW w AS (PARTITION BY r ORDER BY run)
+), cut AS (SELECT r, string_agg(before, '' ORDER BY run) AS kept, max(z) AS z, CAST(sum(n) AS BIGINT) AS n_removed, count(*) AS n_spans FROM pieces GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN kept IS NULL THEN h ELSE kept || substr(h, 2 * z - 1) END)) AS kept_sha256
+FROM docs LEFT JOIN cut USING (r)
+"""
