@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet
 and reread as the next one's docs.  All but the last return the columns of documents; the
 last adds each row's shard and slot.  ``run`` applies them to the documents of sf_dir.
+
+Cases, the same for every stage: a null or empty text is kept, since no stage finds anything
+in it; a null id is kept and never stands for another row; rows that are repeated are judged
+alike, and the near-duplicate stage keeps one of them (of equal ids the first as stored); a
+null source is a source of its own; extra columns pass through unchanged, and in the last
+stage one named like a made column comes as that name with ``_before``; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -57,5 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = list(scratch.paths)
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)  # what it was made of isn't read again
     return STAGES[-1][1](spark, docs, sf_dir)
