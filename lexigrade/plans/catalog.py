@@ -116,15 +116,11 @@ def min_words_filter(spark, sf_dir):
     return every.groupBy("kind").agg(F.count("*").alias("texts"), F.sum((F.size(words(F.coalesce("text", F.lit("")))) >= 3).cast("long")).alias("long_enough"))
 
 
-def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).where("lang = 'en'").select("doc_id", "text")
-
-
 def _metric_query(name: str) -> None:
     metric = metrics.METRICS[name]
 
     def run(spark, sf_dir):
-        return _english(spark, sf_dir).select("doc_id", let(tokens(F.col("text")), lambda t: metric(t, metrics.Context())).alias("m")).select("doc_id", "m.value", F.md5(F.coalesce("m.reason", F.lit("")).cast("binary")).alias("reason_md5"))
+        return _documents(spark, sf_dir).select("doc_id", let(tokens(F.col("text")), lambda t: metric(t, metrics.Context())).alias("m")).select("doc_id", "m.value", F.md5(F.coalesce("m.reason", F.lit("")).cast("binary")).alias("reason_md5"))
 
     QUERIES[f"metric_{name}"] = run
 
@@ -163,7 +159,7 @@ def vocabulary_by_source(spark, sf_dir):
 @_query
 def content_word_stems(spark, sf_dir):
     found = content_words(F.col("text"))
-    return _documents(spark, sf_dir).where("lang = 'en'").select("doc_id", F.size(found).cast("long").alias("n"), F.md5(F.array_join(found, " ").cast("binary")).alias("stems_md5"))
+    return _documents(spark, sf_dir).select("doc_id", F.size(found).cast("long").alias("n"), F.md5(F.array_join(found, " ").cast("binary")).alias("stems_md5"))
 
 
 @_query

@@ -109,7 +109,7 @@ _POS = " ".join(
 _TOKENS = rf"""
 WITH split AS (
   SELECT doc_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '(?i)([a-z])(n''t|''s|''re|''ve|''ll|''d|''m)([^a-z]|$)', '\1 \2\3', 'g'), '(?i)n''t|''(?:re|ve|ll|s|d|m)|[\p{{L}}\p{{N}}]+(?:[-_.''’][\p{{L}}\p{{N}}]+)*|[^\s\p{{L}}\p{{N}}]') AS ts
-  FROM documents WHERE lang = 'en'
+  FROM documents
 ), tok AS (
   SELECT doc_id, i, t, lower(t) AS normal, {_POS} AS pos FROM (SELECT doc_id, unnest(ts) AS t, unnest(generate_series(1, len(ts))) AS i FROM split)
 )"""
@@ -211,7 +211,7 @@ ORACLE_SQL: dict[str, str] = {
         least(7.0::DOUBLE, min(coalesce(zipf, 2.0::DOUBLE))) AS min_zipf FROM occ ANTI JOIN vocab USING (word) LEFT JOIN zipf USING (word) GROUP BY doc_id""",
     "vocabulary_topk": f"WITH occ AS (SELECT doc_id, unnest({_PLAIN}) AS word FROM documents), {_VOCAB.format(k=L.MAX_VOCABULARY)} SELECT word, files FROM vocab",
     "vocabulary_by_source": f"SELECT word, count(DISTINCT source) AS files FROM (SELECT source, unnest({_PLAIN}) AS word FROM documents) GROUP BY word HAVING count(DISTINCT source) > 1",
-    "content_word_stems": rf"""WITH ws AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]{{2,}}'), lambda w: w NOT IN {_list(L.FILLER)}) AS ws FROM documents WHERE lang = 'en'
+    "content_word_stems": rf"""WITH ws AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]{{2,}}'), lambda w: w NOT IN {_list(L.FILLER)}) AS ws FROM documents
         ), one AS (SELECT doc_id AS k, unnest(ws) AS w, unnest(generate_series(1, len(ws))) AS place FROM ws), {_stem_ctes("one")}
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n, md5(coalesce(said, '')) AS stems_md5 FROM ws LEFT JOIN (SELECT k AS doc_id, string_agg(s, ' ' ORDER BY place) AS said FROM stems GROUP BY k) USING (doc_id)""",
     "redundancy_of_names": rf"""WITH names AS (SELECT p_partkey, string_split(trim(regexp_replace(regexp_replace(regexp_replace(replace(p_name, ' ', '_'), '[.:_$]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g')), ' ') AS parts FROM part
