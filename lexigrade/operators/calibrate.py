@@ -13,11 +13,34 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexigrade.functions import lexicons as L
 from lexigrade.functions.text import readability_weight
-from lexigrade.operators.score import PRIORS, difficulty
+from lexigrade.operators import vocabulary
+from lexigrade.operators.metrics import Context
+from lexigrade.operators.normalize import normalized
+from lexigrade.operators.score import PRIORS, difficulty, measured
 
 ITERATIONS, RATE, PULL, EPSILON = 3000, 0.02, 0.05, 1e-9
 
 
+def samples(labelled: DataFrame, zipf: DataFrame) -> DataFrame:
+    """``labelled(text, languageId, kind, label)`` with ``words`` and the ``results`` of all metrics.
+
+    Texts are raw comments and are normalized first.  The vocabulary is empty and there is no
+    symbol: a label is given to a comment alone.  Other columns but those of these names stay.
+    """
+    raw = labelled.withColumnsRenamed({"text": "raw_text", "languageId": "language_id"})
+    empty = zipf.select("word").where(F.lit(False))
+    rated = measured(F.col("text"), Context(identifiers=F.col("identifiers")), vocabulary.lexicon(zipf, empty))
+    return normalized(raw).withColumn("_m", rated).select("*", "_m.words", "_m.results").drop("_m")
+
+
+def matrix(sampled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hardness, scale, label) of samples, as ``fit`` takes them; a labelled set is small by nature."""
+    results = {m: F.col(f"results.{m}") for m, *_ in PRIORS}
+    rows = sampled.select(features(results, F.col("words"), F.col("label")).alias("f")).select("f.*").collect()
+    hard, scale = (np.array([r[k] for r in rows], float).reshape(len(rows), len(PRIORS)) for k in ("difficulty", "scale"))
+    return hard, scale, np.array([r.label for r in rows], int)
+
+
 def features(results: dict[str, Column], words: Column, label: Column) -> Column:
     """struct(difficulty, scale, label) of the metrics' results under the prior ramps."""
     blend = readability_weight(words, L.RAMP_START, L.RAMP_END)

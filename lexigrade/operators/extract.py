@@ -221,20 +221,27 @@ def _looks_like_code(body: str, language: str) -> bool:
     return all(re.search(r"[;{}]\s*$|^\s*[})\]]|^(?:if|for|while|return|else)\b.*[({]", s) for s in lines)
 
 
-def docstrings(text: str) -> list[tuple[int, int, str, str | None]]:
-    """(first row, last row, raw text, owner's name) of Python docstrings."""
+Place = tuple[int, int]
+
+
+def docstrings(text: str) -> list[tuple[Place, Place, str, str | None]]:
+    """(start, end, raw text, owner's name) of Python docstrings; a place is a row and a column."""
     out = []
     lines = text.split("\n")
+
+    def place(line: int, offset: int) -> Place:  # the parser counts bytes
+        return line - 1, len(lines[line - 1].encode(errors="surrogatepass")[:offset].decode(errors="ignore")) if line <= len(lines) else offset
+
     for node in ast.walk(ast.parse(text)):
         if isinstance(node, (ast.Module, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and node.body:
             first = node.body[0]
             if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
                 raw = ast.get_source_segment(text, first.value) or "\n".join(lines[first.lineno - 1 : first.end_lineno])
-                out.append((first.lineno - 1, (first.end_lineno or first.lineno) - 1, raw, getattr(node, "name", None)))
+                out.append((place(first.lineno, first.col_offset), place(first.end_lineno or first.lineno, first.end_col_offset or 0), raw, getattr(node, "name", None)))
     return out
 
 
-def loose_docstrings(text: str) -> list[tuple[int, int, str, str | None]]:
+def loose_docstrings(text: str) -> list[tuple[Place, Place, str, str | None]]:
     """Docstrings of a file that doesn't parse: strings alone on their lines below a file's start, def or class."""
     pattern, _ = scanner("python")
     out, at = [], 0
@@ -248,7 +255,8 @@ def loose_docstrings(text: str) -> list[tuple[int, int, str, str | None]]:
         owner = re.match(r"\s*(?:async\s+)?(?:def|class)\s+(\w+).*:\s*$", above[-1]) if above else None
         if owner or not above:
             row = text.count("\n", 0, start)
-            out.append((row, row + text.count("\n", start, end), text[start:end], owner.group(1) if owner else None))
+            last = row + text.count("\n", start, end), end - text.rfind("\n", 0, end) - 1
+            out.append(((row, start - line), last, text[start:end], owner.group(1) if owner else None))
     return out
 
 
@@ -323,7 +331,7 @@ def comments(text: str, language: str, errors: list[str] | None = None) -> list[
                 target = inside(first.start)
             else:
                 target = None if trailing(first) else _target(text, some[-1].end, syntax)
-            out.append(dict(start_row=first.row, start_column=first.start - line_start(first), end_row=some[-1].end_row, kind=kind, raw_text="\n".join(s.raw for s in some), target_symbol=target, approx=language not in EXACT))
+            out.append(dict(start_row=first.row, start_column=first.start - line_start(first), end_row=some[-1].end_row, end_column=some[-1].end - text.rfind("\n", 0, some[-1].end) - 1, kind=kind, raw_text="\n".join(s.raw for s in some), target_symbol=target, approx=language not in EXACT))
     if language == "python":
         exact = True
         try:
@@ -332,14 +340,14 @@ def comments(text: str, language: str, errors: list[str] | None = None) -> list[
             exact, found = False, loose_docstrings(text)
             if errors is not None:
                 errors.append(f"{type(e).__name__}: {e}"[:500])
-        for a, z, raw, name in found:
-            out.append(dict(start_row=a, start_column=0, end_row=z, kind="doc", raw_text=raw, target_symbol=name, approx=not exact))
+        for (row, column), (last_row, last_column), raw, name in found:
+            out.append(dict(start_row=row, start_column=column, end_row=last_row, end_column=last_column, kind="doc", raw_text=raw, target_symbol=name, approx=not exact))
         out.sort(key=lambda c: (c["start_row"], c["start_column"]))
     return out
 
 
-_FIELDS = [("start_row", pa.int32()), ("start_column", pa.int32()), ("end_row", pa.int32()), ("kind", pa.string()), ("raw_text", pa.string()), ("target_symbol", pa.string()), ("approx", pa.bool_())]
-SCHEMA = "path string, language_id string, start_row int, start_column int, end_row int, kind string, raw_text string, target_symbol string, approx boolean, error string"
+_FIELDS = [("start_row", pa.int32()), ("start_column", pa.int32()), ("end_row", pa.int32()), ("end_column", pa.int32()), ("kind", pa.string()), ("raw_text", pa.string()), ("target_symbol", pa.string()), ("approx", pa.bool_())]
+SCHEMA = "path string, language_id string, start_row int, start_column int, end_row int, end_column int, kind string, raw_text string, target_symbol string, approx boolean, error string"
 
 
 def comments_of(files: DataFrame, errors: bool = False) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexigrade.functions import lexicons as L
+from lexigrade.sources.files import is_scanned, is_within
 
 #: A plain word, lower-cased.
 PLAIN = "[a-z]+"
@@ -30,6 +32,22 @@ def file_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("word").agg(F.count("*").alias("files"))
 
 
+def file_count(pairs: DataFrame) -> DataFrame:
+    """(files): how many files give words to the vocabulary."""
+    return pairs.agg(F.count_distinct("file").alias("files"))
+
+
+def kept(path: str, pairs: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """The pairs written at the path; made and written by the first call, read by later ones."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    pairs().write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def vocabulary(pairs: DataFrame, most: int = L.MAX_VOCABULARY) -> DataFrame:
     """The words of most files, ties alphabetical, at most ``most``; a top-k, not a full sort."""
     return file_counts(pairs).orderBy(F.desc("files"), "word").limit(most)
@@ -45,6 +63,32 @@ def removed(pairs: DataFrame, path: str) -> DataFrame:
     return pairs.where(~((F.col("file") == path) | F.startswith(F.col("file"), F.lit(path + "/"))))
 
 
+def moved(pairs: DataFrame, old: str, new: str, excluded: list[str] | None = None) -> DataFrame:
+    """Pairs after a rename, with the scan rules checked again: a file that no longer passes
+    them is dropped, and one that is written over gives way."""
+    inside = is_within(F.col("file"), old)
+    target = F.concat(F.lit(new), F.substr(F.col("file"), F.lit(len(old) + 1)))
+    there = pairs.where(inside).withColumn("file", target).where(is_scanned(F.col("file"), excluded))
+    rest = pairs.where(~inside)
+    below = is_within(F.col("file"), new)
+    stays = rest.where(below).join(there.select("file").distinct(), "file", "left_anti")
+    return rest.where(~below).unionByName(stays).unionByName(there)
+
+
+def admitted(changes: DataFrame, tracked: DataFrame, order: str, most: int = L.MAX_FILES) -> DataFrame:
+    """``changes(file, ...)`` that are taken in: all of tracked files, and of new files those that
+    came first while fewer than ``most`` files are tracked.
+
+    The limit is a workspace's, not a corpus'.  New files are aggregated before the top-k, and
+    at most ``most`` of them are broadcast.  Ties go by name; a null file is never taken in.
+    """
+    files = tracked.select("file").where("file is not null").distinct()
+    new = changes.join(files, "file", "left_anti").where("file is not null").groupBy("file").agg(F.min(order).alias("at"))
+    room = max(0, most - files.limit(most).count())
+    taken = new.orderBy("at", "file").limit(room).select("file")
+    return changes.join(files, "file", "left_semi").unionByName(changes.join(F.broadcast(taken), "file", "left_semi"))
+
+
 def zipf_table(texts: DataFrame, text: str = "text", most: int = MOST_RATED) -> DataFrame:
     """(word, zipf): log10 of occurrences per thousand million words, of the most frequent."""
     words = texts.select(F.explode(plain_words(F.col(text))).alias("word"))
@@ -74,9 +118,9 @@ def rated_words(texts: DataFrame, key: str, vocabulary_: DataFrame, zipf: DataFr
 class Lexicon:
     """Frequencies and vocabulary, broadcast as one table: 70,000 words at the most."""
 
-    def __init__(self, zipf: DataFrame, vocabulary_: DataFrame):
+    def __init__(self, zipf: DataFrame, vocabulary_: DataFrame, acronyms: Iterable[str] = ()):
         words = {r.word: r.zipf for r in zipf.limit(MOST_RATED).collect()}
-        known = {r.word for r in vocabulary_.limit(L.MAX_VOCABULARY).collect()}
+        known = {r.word for r in vocabulary_.limit(L.MAX_VOCABULARY).collect()} | set(acronyms)
         self.table = zipf.sparkSession.sparkContext.broadcast((words, known))
 
     def entries(self, texts: Column) -> Column:
@@ -100,6 +144,6 @@ class Lexicon:
         return F.pandas_udf(looked, "zipf array<double>, flags array<int>")(texts)
 
 
-def lexicon(zipf: DataFrame, vocabulary_: DataFrame) -> Lexicon:
-    """The lexicon of ``zipf(word, zipf)`` and ``vocabulary_(word)``."""
-    return Lexicon(zipf, vocabulary_)
+def lexicon(zipf: DataFrame, vocabulary_: DataFrame, acronyms: Iterable[str] = ()) -> Lexicon:
+    """The lexicon of ``zipf(word, zipf)`` and ``vocabulary_(word)``, to which the acronyms are added."""
+    return Lexicon(zipf, vocabulary_, acronyms)

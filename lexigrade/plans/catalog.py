@@ -13,7 +13,7 @@ from lexigrade.functions.text import READABILITY, js_round, let, readability_wei
 from lexigrade.functions.tokens import tokens
 from lexigrade.operators import calibrate, metrics, report, runs, vocabulary
 from lexigrade.operators.extract import comments_of, html_comments
-from lexigrade.operators.score import readability_score, scored
+from lexigrade.operators.score import PRIORS, readability_score, scored
 from lexigrade.plans.oracles import ORACLE_SQL  # noqa: F401
 from lexigrade.sources.files import is_scanned, is_within, language_for_path
 from lexigrade.streaming import events as streams
@@ -156,6 +156,44 @@ def vocabulary_by_source(spark, sf_dir):
     return vocabulary.file_counts(pairs).where("files > 1")
 
 
+@_query
+def vocabulary_files(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return vocabulary.file_count(vocabulary.file_words(docs, "source", vocabulary.plain_words(F.col("text"))))
+
+
+@_query
+def admitted_changes(spark, sf_dir):
+    """Events of users that are customers, and of the first other users as far as the file limit goes."""
+    changes = _table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), "event_id")
+    return vocabulary.admitted(changes, _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file")), "event_id").select("event_id", F.col("file").alias("user_id"))
+
+
+@_query
+def evicted_results(spark, sf_dir):
+    """Documents whose results stay when those with a label are closed."""
+    docs = _documents(spark, sf_dir).select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("length"))
+    return streams.evicted(docs, _table(spark, sf_dir, "labels"), "doc_id")
+
+
+@_query
+def hover_lookup(spark, sf_dir):
+    """The comment at column 40 of each of a page's rows that has one there."""
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("html").alias("language_id"), F.col("html").alias("text"))
+    rows = pages.select("path", F.explode(F.sequence(F.lit(0), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)) - 1)).alias("row"), F.lit(40).alias("column"))
+    return report.at(comments_of(pages), rows).select(F.col("path").cast("long").alias("page_id"), "row", "column", "raw_text")
+
+
+@_query
+def calibration_samples(spark, sf_dir):
+    """Difficulties and scales of labelled documents under the corpus' own word frequencies."""
+    docs, marks = _documents(spark, sf_dir), _table(spark, sf_dir, "labels")
+    label = F.when(F.col("quality") == 1, F.lit("easy")).otherwise(F.lit("hard"))
+    labelled = docs.join(marks.select("doc_id", label.alias("label")), "doc_id").select("doc_id", "text", F.lit("").alias("languageId"), F.lit("line").alias("kind"), "label")
+    sampled = calibrate.samples(labelled, vocabulary.zipf_table(docs))
+    return sampled.select("doc_id", "words", calibrate.features({m: F.col(f"results.{m}") for m, *_ in PRIORS}, F.col("words"), F.col("label")).alias("f")).select("doc_id", "words", "f.*")
+
+
 @_query
 def content_word_stems(spark, sf_dir):
     found = content_words(F.col("text"))

@@ -211,6 +211,12 @@ ORACLE_SQL: dict[str, str] = {
         least(7.0::DOUBLE, min(coalesce(zipf, 2.0::DOUBLE))) AS min_zipf FROM occ ANTI JOIN vocab USING (word) LEFT JOIN zipf USING (word) GROUP BY doc_id""",
     "vocabulary_topk": f"WITH occ AS (SELECT doc_id, unnest({_PLAIN}) AS word FROM documents), {_VOCAB.format(k=L.MAX_VOCABULARY)} SELECT word, files FROM vocab",
     "vocabulary_by_source": f"SELECT word, count(DISTINCT source) AS files FROM (SELECT source, unnest({_PLAIN}) AS word FROM documents) GROUP BY word HAVING count(DISTINCT source) > 1",
+    "vocabulary_files": f"SELECT count(DISTINCT source) AS files FROM (SELECT source, unnest({_PLAIN}) AS word FROM documents)",
+    "admitted_changes": f"""WITH tracked AS (SELECT DISTINCT c_custkey AS f FROM customer WHERE c_custkey IS NOT NULL), fresh AS (
+          SELECT user_id, row_number() OVER (ORDER BY min(event_id), user_id) AS place FROM events WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT f FROM tracked) GROUP BY user_id
+        ) SELECT event_id, user_id FROM events WHERE user_id IN (SELECT f FROM tracked)
+          OR user_id IN (SELECT user_id FROM fresh WHERE place + (SELECT count(*) FROM tracked) <= {L.MAX_FILES})""",
+    "evicted_results": "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS length FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "content_word_stems": rf"""WITH ws AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]{{2,}}'), lambda w: w NOT IN {_list(L.FILLER)}) AS ws FROM documents
         ), one AS (SELECT doc_id AS k, unnest(ws) AS w, unnest(generate_series(1, len(ws))) AS place FROM ws), {_stem_ctes("one")}
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n, md5(coalesce(said, '')) AS stems_md5 FROM ws LEFT JOIN (SELECT k AS doc_id, string_agg(s, ' ' ORDER BY place) AS said FROM stems GROUP BY k) USING (doc_id)""",

@@ -107,9 +107,11 @@ class Settings:
         for name in ("enabled", "show_only_above", "diagnostics"):
             if isinstance(values.get(name), bool):
                 out = replace(out, **{name: values[name]})
-        for name in ("languages", "acronyms"):
-            if isinstance(values.get(name), (list, tuple)):
-                out = replace(out, **{name: tuple(v for v in values[name] if isinstance(v, str))})
+        if isinstance(values.get("languages"), (list, tuple)):
+            out = replace(out, languages=tuple(v for v in values["languages"] if isinstance(v, str)))
+        if isinstance(values.get("acronyms"), (list, tuple)):
+            spelt = (v.strip().lower() for v in values["acronyms"] if isinstance(v, str))
+            out = replace(out, acronyms=tuple(dict.fromkeys(v for v in spelt if re.fullmatch("[a-z0-9]+", v))))
         if number(values.get("threshold")) and 0 <= values["threshold"] <= 10:
             out = replace(out, threshold=float(values["threshold"]))
         start, end = values.get("ramp_start"), values.get("ramp_end")

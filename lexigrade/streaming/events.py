@@ -42,6 +42,11 @@ def fresh(results: DataFrame, versions: DataFrame, key: str) -> DataFrame:
     return results.join(versions.select(key, "version"), [key, "version"], "left_semi")
 
 
+def evicted(results: DataFrame, closed: DataFrame, key: str) -> DataFrame:
+    """Results without those of closed documents; a null key is never closed."""
+    return results.join(closed.select(key), key, "left_anti")
+
+
 def scored_once(comments: DataFrame, keys: list[str], score) -> DataFrame:
     """comments with the columns that ``score`` adds to their distinct keys, computed once each."""
     return comments.join(score(comments.select(*keys).distinct()), keys, "left")

@@ -70,3 +70,55 @@ def test_corpus(spark):
     files = spark.createDataFrame([("a.kt", "kotlin", "// The cache is not flushed unless the XQZ flag is set.\nval x = 1"), ("b.kt", "kotlin", "// The cache is not flushed unless the XQZ flag is set.\nval y = 1")], "path string, language_id string, text string")
     got = scored_comments(files).select("path", "score.score", "score.reasons").orderBy("path").collect()
     assert len(got) == 2 and got[0].score == got[1].score > 0 and got[0].reasons
+
+
+def test_python_sections():
+    numpy = '"""Do it.\n\nParameters\n----------\nx, *rest : int\n    The count.\ny : str, optional\n    A name.\n\nReturns\n-------\nlist[int]\n    The total.\n\nRaises\n------\nValueError\n    When empty.\n\nExamples\n--------\n>>> go()\n\nNot read.\n"""'
+    assert normalize(numpy, "python") == ("Do it.\nThe count.\nA name.\nThe total.\nWhen empty.", ["x", "rest", "y", "ValueError"])
+    sphinx = '"""Go.\n\n:param str name: Who goes.\n:type name: str\n    or bytes\n:returns: Where to.\n"""'
+    assert normalize(sphinx, "python") == ("Go.\nWho goes.\nWhere to.", ["name"])
+    google = '"""Go.\n\nReturns:\n    bool: Whether it went.\n\nNote:\n    Slow.\n"""'
+    assert normalize(google, "python") == ("Go.\nWhether it went.\nSlow.", [])
+
+
+def test_link_definitions_over_lines():
+    def prose(*lines):
+        return normalize("\n".join(f"// {s}".rstrip() for s in lines), "plain")[0]
+
+    assert prose("before", "[a]: http://x.y", "after") == "before\nafter"
+    assert prose("[a]: http://x.y", '"Long', 'title"', "after") == "after"
+    assert prose("[a]:", "http://x.y", "(a title)", "after") == "after"
+    assert prose("[a]: http://x.y 'open", "", "after all") == "after all"
+    assert prose("[a]:", "two words") == "two words"
+    assert prose("[a]: http://x.y", "[b]: http://x.z", "'t'", "'quoted' words") == "'quoted' words"
+
+
+def test_columns_of_comments_and_the_lookup(spark):
+    from lexigrade.operators.report import at
+
+    got = comments('é = 1  # tail\ndef f():\n    """Says\n    more."""\n', "python")
+    assert [(c["start_row"], c["start_column"], c["end_row"], c["end_column"]) for c in got] == [(0, 7, 0, 13), (2, 4, 3, 12)]
+    broken = comments('def f():\n    """Says."""\n    x = = 1\n', "python")
+    assert [(c["start_column"], c["end_column"]) for c in broken] == [(4, 15)]
+    text = "/* one */ a // two\n/* three\nlines */ b\n"
+    rows = comments_of(spark.createDataFrame([("f", "kotlin", text), ("g", "kotlin", "// x")], "path string, language_id string, text string"))
+    places = [("f", r, c) for r in range(4) for c in range(20)] + [("f", None, 1), (None, 0, 0), ("h", 0, 0)]
+    held = {(p.row, p.column): p.raw_text for p in at(rows, spark.createDataFrame(places, "path string, row int, column int")).collect()}
+    want = {(0, c): "/* one */" for c in range(10)} | {(0, c): "// two" for c in range(12, 19)} | {(1, c): "/* three\nlines */" for c in range(20)} | {(2, c): "/* three\nlines */" for c in range(9)}
+    assert held == want
+
+
+def test_settings_reach_the_score(spark):
+    from lexigrade.sources.files import Settings
+
+    files = spark.createDataFrame([("a.kt", "kotlin", "// The ZQX flag is not read unless it is set, because it never works.\nval a = 1\n"), ("b.lua", "lua", "-- Nothing of this is read here at all.")], "path string, language_id string, text string")
+    plain = scored_comments(files).collect()
+    assert {r.path for r in plain} == {"a.kt", "b.lua"}
+    settings = Settings.parse({"languages": ["kotlin"], "acronyms": [" zqx ", "no-word"], "weights": {"negationCount": 0}})
+    assert settings.acronyms == ("zqx",)
+    (told,) = scored_comments(files, settings=settings).collect()
+    of = lambda row: {c.metric: c for c in row.score.contributions}
+    before = of(next(r for r in plain if r.path == "a.kt"))
+    assert before["undefinedAcronyms"].value == 1 and of(told)["undefinedAcronyms"].value == 0
+    assert before["negationCount"].points > 0 and of(told)["negationCount"].points == 0
+    assert scored_comments(files, settings=Settings.parse({"show_only_above": True, "threshold": 10})).count() == 0

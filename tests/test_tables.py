@@ -63,6 +63,40 @@ def test_fit_moves_bands_and_evaluates(spark):
     assert {r.human: (r.easy, r.ok, r.hard) for r in calibrate.confusion(judged).collect()} == {"easy": (1, 0, 0), "hard": (0, 1, 0)}
 
 
+def test_samples_feed_the_fit(spark):
+    rows = [(1, "// Adds one.", "kotlin", "line", "easy"), (2, "/** Gets `maxRetries`, which is not set. */", "kotlin", "doc", "hard"), (3, None, "kotlin", "line", "ok")]
+    labelled = spark.createDataFrame(rows, "id int, text string, languageId string, kind string, label string")
+    zipf = spark.createDataFrame([("adds", 4.0), ("one", 6.0)], "word string, zipf double")
+    sampled = calibrate.samples(labelled, zipf)
+    got = {r.id: r for r in sampled.collect()}
+    assert got[1].text == "Adds one." and got[1].words == 2 and got[1].results.commentLength.value == 2
+    assert got[2].identifiers == ["maxRetries"] and got[2].results.negationCount.value == 1 and got[3].words == 0
+    hardness, scale, label = calibrate.matrix(sampled.orderBy("id"))
+    assert hardness.shape == scale.shape == (3, len(PRIORS)) and list(label) == [0, 2, 1]
+    assert ((hardness >= 0) & (hardness <= 1)).all()
+    assert calibrate.fit(hardness, scale, label, iterations=5)[1]["ok"] > 0
+    assert calibrate.matrix(sampled.where("false"))[0].shape == (0, len(PRIORS))
+
+
+def test_vocabulary_of_a_workspace(spark, tmp_path):
+    pairs = spark.createDataFrame([("src/a.ts", "red"), ("src/b.ts", "blue"), ("lib/a.ts", "old"), ("x.ts", "kept")], "file string, word string")
+    assert vocabulary.file_count(pairs).first().files == 4
+    of = lambda df: sorted(tuple(r) for r in df.collect())
+    assert of(vocabulary.moved(pairs, "src", "lib")) == [("lib/a.ts", "red"), ("lib/b.ts", "blue"), ("x.ts", "kept")]
+    assert of(vocabulary.moved(pairs, "src", "dist")) == [("lib/a.ts", "old"), ("x.ts", "kept")]
+    assert of(vocabulary.moved(pairs, "x.ts", "x.txt"))[-1] == ("src/b.ts", "blue")
+    changes = spark.createDataFrame([("a", 5), ("n2", 3), ("n1", 3), ("n3", 1), ("n3", 9), (None, 0)], "file string, at long")
+    tracked = spark.createDataFrame([("a",), ("a",), ("z",), (None,)], "file string")
+    for most, files in ((2, {"a"}), (3, {"a", "n3"}), (4, {"a", "n1", "n3"}), (9, {"a", "n1", "n2", "n3"})):
+        assert {r.file for r in vocabulary.admitted(changes, tracked, "at", most).collect()} == files
+    calls = []
+    make = lambda: calls.append(1) or pairs
+    for _ in range(2):
+        assert vocabulary.kept(str(tmp_path / "words"), make, spark).count() == 4
+    assert calls == [1]
+    assert of(E.evicted(pairs, spark.createDataFrame([("x.ts",), (None,)], "file string"), "file"))[0] == ("lib/a.ts", "old")
+
+
 def test_events(spark, tmp_path):
     rows = [("f", 1, "upsert", "red blue"), ("f", 2, "upsert", "blue green"), ("g", 1, "upsert", "blue"), ("f", 1, "upsert", "stale"), ("g", 2, "delete", None)]
     df = spark.createDataFrame(rows, "file string, version long, kind string, text string")
