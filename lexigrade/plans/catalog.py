@@ -178,9 +178,10 @@ def evicted_results(spark, sf_dir):
 
 @_query
 def hover_lookup(spark, sf_dir):
-    """The comment at column 40 of each of a page's rows that has one there."""
+    """The comments under a grid of positions, one for every 25 columns of each row of a page."""
     pages = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("html").alias("language_id"), F.col("html").alias("text"))
-    rows = pages.select("path", F.explode(F.sequence(F.lit(0), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)) - 1)).alias("row"), F.lit(40).alias("column"))
+    rows = pages.select("path", F.posexplode(F.split("text", "\n", -1)).alias("row", "line"))
+    rows = rows.select("path", "row", F.explode(F.sequence(F.lit(0), F.length("line"), F.lit(25))).alias("column"))
     return report.at(comments_of(pages), rows).select(F.col("path").cast("long").alias("page_id"), "row", "column", "raw_text")
 
 
