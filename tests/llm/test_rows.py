@@ -281,3 +281,96 @@ def test_long_and_capital_secrets_go_whole(spark):
     rows = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOCS)
     got = {x.doc_id: x.text for x in pii.redacted(rows).collect()}
     assert got == {0: "use token=[SECRET] now", 1: "the secret: [SECRET] now", 2: "THE PASSWORD=[SECRET] GOES"}
+
+
+def test_perspectives_of_odd_rows(spark):
+    schema = "conv_id long, turn long, role string, text string, part string, perspective string, n_messages int"
+    rows = [(1, 0, "ann", "hi", "p", "q", 9)] * 2 + [(1, 1, "bob", "w " * 40_000, None, None, None), (2, 0, "system", None, "p", "q", 9), (None, None, None, None, None, None, None)]
+    got = {(r.conv_id, r.perspective): r for r in perspectives.rendered(spark.createDataFrame(rows, schema)).collect()}
+    assert set(got) == {(1, "ann"), (1, "bob"), (None, "unknown")}
+    assert (got[1, "ann"].n_messages, got[1, "ann"].n_trained, got[1, "bob"].n_trained) == (3, 2, 1)
+    assert got[1, "ann"].rendered.startswith("<|im_start|>assistant\nhi<|im_end|>\n" * 2)
+    assert got[1, "bob"].rendered.count("w ") == 40_000 and got[None, "unknown"].n_trained == 1
+    assert perspectives.rendered(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_mixing_of_odd_rows(spark):
+    schema = "doc_id long, text string, source string, copies int, _at string, `a.b` string, epoch long"
+    rows = [(1, "a b c", "x", 7, "q", "r", 3)] * 3 + [(2, None, "x", None, None, None, None), (None, "a b", None, 7, "q", "r", 3), (None, None, None, None, None, None, None), (3, "w " * 30_000, "y", 1, "q", "r", 0), (4, "", "z", 1, "q", "r", 0)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    found, given = (collections.Counter(map(tuple, x)) for x in (got.collect(), rows))
+    assert set(found) == set(given) and all(found[r] >= n for r, n in given.items())
+    assert all(found[r] == 1 for r in given if not r[1])
+    empty = spark.createDataFrame([], schema)
+    assert mixing.mixed(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+def test_mixing_settles_ties_of_the_budget(spark):
+    rows = spark.createDataFrame([(k, "one two three", "x", "s", 1) for k in range(40)], "doc_id long, text string, source string, lang string, n_chars long")
+    one, two = (sorted(r.doc_id for r in mixing.mixed(rows.repartition(n), budget=61.0).collect()) for n in (1, 7))
+    assert one == two and len(one) == 20 == len(set(one))
+
+
+def test_toxicity_of_odd_rows(judged, spark):
+    docs, labels = judged
+    clash = labels.union(spark.createDataFrame([(k, None, 1 - (k % 2)) for k in range(40)] + [(None, 1, 1), (1, 1, None)], labels.schema))
+    model = toxicity.train(docs, clash.repartition(3))
+    again = toxicity.train(docs.repartition(3), clash)
+    assert (model.words == again.words).all() and np.allclose(model.weights, again.weights)
+    odd = spark.createDataFrame([(1, "rotten. " * 20_000, "a", 1.0), (1, "plain abc", "b", 2.0), (1, "plain abc", "b", 2.0), (None, None, None, None)], "doc_id long, text string, held_out string, score double")
+    rows = toxicity.scored(odd, toxicity.train(docs, labels)).collect()
+    assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows) and [r.predicted for r in rows].count(1) == 1
+    assert toxicity.scored(docs.where("false"), model).count() == 0
+
+
+def test_pipeline_against_brute_force(spark, judged, tmp_path):
+    """What is left, document by document; only the toxicity scores are the operator's own."""
+    import corpus_pipeline
+
+    docs, labels = judged
+    r = random.Random(8)
+    leak = " ".join(f"leak{k}" for k in range(12))
+    first = docs.where("doc_id = 1").first().text.split()
+    near = [(700 + k, " ".join(w if j != k else "zz" for j, w in enumerate(first * 3)), "en", "s1", 1) for k in range(3)]
+    spread = [(720 + k, " ".join(r.choice("abcdefgh") * 3 for _ in range(30)) + (f" {leak}" if k % 2 else " leak1 leak2"), "en", "s1", 1) for k in range(6)]
+    docs = docs.union(spark.createDataFrame(near + spread, DOCS))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "text", "shard", "slot").collect()
+
+    stored = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    toxic = {(x.doc_id, x.predicted) for x in toxicity.scored(stored, toxicity.train(stored, labels)).collect()}
+    left = [x for x in stored.collect() if (x.doc_id, 1) not in toxic]
+
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    sets, lead = [shingles(x.text) for x in left], {}
+    for a, x in enumerate(left):  # the least id of a group stays
+        group, todo = {a}, [a]
+        while todo:
+            one = todo.pop()
+            linked = {b for b in range(len(left)) if sets[one] and 100 * len(sets[one] & sets[b]) >= 80 * len(sets[one] | sets[b])} - group
+            group |= linked
+            todo += linked
+        lead[a] = x.doc_id is None or x.doc_id == min(left[b].doc_id for b in group if left[b].doc_id is not None)
+    window = [f"leak{k}" for k in range(12)]
+    runs = {tuple(window[k : k + 10]) for k in range(3)}
+    clean = lambda t: not any(w in runs for w in zip(*(re.findall("[a-z0-9]+", (t or "").lower())[k:] for k in range(10)), strict=False))
+    want = {(x.doc_id, x.text) for k, x in enumerate(left) if lead[k] and clean(x.text)}
+    assert {(x.doc_id, x.text) for x in out} == want
+    assert {720, 722, 724} <= {x.doc_id for x in out} and not {721, 723, 725} & {x.doc_id for x in out}
+    assert sorted((x.shard, x.slot) for x in out) == sorted((k % 8, k // 8) for k in range(len(out)))
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

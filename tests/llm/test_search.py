@@ -215,3 +215,11 @@ def test_components(spark):
 @pytest.mark.parametrize("operator", [near_duplicates, fingerprint_index.deduplicated, suffix_dedup.deduplicated])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_near_vectors_of_odd_rows(spark):
+    schema = "vec_id long, embedding array<float>, n_links string, component_id int, kept string, rid long"
+    rows = [(3, [1.0, 0.0], "x", 1, "y", 0)] * 2 + [(1, [2.0, 0.0], None, None, None, None), (2, [0.0, 1.0], "x", 1, "y", 0), (4, [1.0, 0.0, 0.0], "x", 1, "y", 0), (5, [], "x", 1, "y", 0), (6, [None, 1.0], "x", 1, "y", 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in cover_tree.near_vectors(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(1, 2, 1, True), (2, 0, 2, True), (3, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True)]
+    assert cover_tree.near_vectors(spark.createDataFrame([], schema)).count() == 0
