@@ -8,6 +8,9 @@ to them, then a posting has eight bytes.  A key that several rows of a flush hol
 sent once: a key that a third of all rows hold costs one posting a flush, not one a
 row, and no task gathers all its holders.
 
+A bucket's postings are sorted range by range of their keys, and what a worker has freed
+goes back to the system after each flush and bucket: Spark keeps idle workers beside busy ones.
+
 Two questions can be asked of a key:
 
 ``shared``   does any other row hold it?
@@ -16,6 +19,7 @@ Two questions can be asked of a key:
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 U64 = np.uint64
 #: Postings that a map task holds before it packs and emits them.
 FLUSH = 500_000
+#: Postings of a bucket that are sorted at once, about.
+RANGE = 1 << 18
 #: Kinds of packed rows: keys to ask about, keys whose answer is known, keys of an older run.
 POSTED, KNOWN, RUN = 0, 1, 2
 
@@ -87,6 +93,25 @@ def unpacked(cells: bytes | None, width: int = 5) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def spare() -> None:
+    """Give memory that this process has freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
+def _ranges(keys: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Where keys of ``width`` bytes stand, one range of keys after another."""
+    bits = min(8, (len(keys) // RANGE).bit_length())
+    lead = (keys >> U64(8 * width - bits)).astype(np.uint8) if bits else np.zeros(len(keys), np.uint8)
+    for k in range(1 << bits):
+        at = np.flatnonzero(lead == k)
+        if len(at):
+            yield at
+
+
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     first = np.ones(len(sorted_keys), dtype=bool)
     first[1:] = sorted_keys[1:] != sorted_keys[:-1]
@@ -99,14 +124,17 @@ def _spans(sorted_values: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _pack(held: list[Held], n_buckets: int, ask: str, short: int) -> pa.RecordBatch:
-    """Rows with the postings to ask about, a bucket each, and with what is known already."""
+    """Rows with the postings to ask about, a bucket each, and with what is known already; empties ``held``."""
     base = np.cumsum([0] + [len(h[0]) for h in held])
     ids = np.concatenate([h[0] for h in held])
     info = np.concatenate([h[1] for h in held]) if held[0][1] is not None else None
     row = np.concatenate([h[2] + b for h, b in zip(held, base, strict=False)]).astype(np.int32)
     check = np.concatenate([h[4] for h in held]) if held[0][4] is not None else None
+    keys = np.concatenate([h[3] for h in held])
+    held.clear()
     width = short if check is None else 8
-    bucket, rest = split(np.concatenate([h[3] for h in held]), check, n_buckets, short)
+    bucket, rest = split(keys, check, n_buckets, short)
+    del keys, check
     if info is None:  # rows of one id are one holder
         single, one = np.unique(ids, return_inverse=True)
         if len(single) < len(ids):
@@ -166,11 +194,13 @@ def packed(df: DataFrame, hold: Callable[[pa.RecordBatch], Iterator[Held]], n_bu
         for batch in batches:
             for part in hold(batch):
                 held.append(part)
+                del part
                 if sum(len(h[3]) for h in held) >= FLUSH:
                     yield _pack(held, n_buckets, ask, width)
-                    held = []
+                    spare()
         if sum(len(h[0]) for h in held):
             yield _pack(held, n_buckets, ask, width)
+            spare()
 
     return df.mapInArrow(mapped, PACKED)
 
@@ -182,11 +212,12 @@ def answered(rows: DataFrame, ask: str, n_parts: int, *, width: int = 5, info_wi
     With ``often``, so do those of at least that many postings, each with their number (eight bytes and eight).
     """
 
-    def reduce(table: pa.Table) -> pa.Table:
-        keys, owner, many, older = [], [], [], []
+    def told(table: pa.Table) -> list[tuple]:
+        bucket = table.column("bucket")[0].as_py()
+        posted, older = [], []
         answers: list[tuple] = []
 
-        def answer(ids: np.ndarray, told: list[bytes], info: np.ndarray | None) -> None:
+        def answer(ids: np.ndarray, told: list, info: np.ndarray | None) -> None:
             part = _parts(ids, n_parts)
             order = np.argsort(part, kind="stable")
             for a, z in _spans(part[order]):
@@ -194,49 +225,69 @@ def answered(rows: DataFrame, ask: str, n_parts: int, *, width: int = 5, info_wi
                 sizes = np.array([len(told[j]) for j in some.tolist()], np.uint32)
                 answers.append((int(part[some[0]]), ids[some].tobytes(), sizes.tobytes(), b"".join(told[j] for j in some.tolist()), b"" if info is None else info[some].tobytes(), None, None))
 
-        for _, kind, i, c, k, m, info in zip(*(table.column(n).to_pylist() for n in _SCHEMA.names), strict=True):
-            if kind == RUN:
-                older += [_from_planes(k, width)] if k else []
-                continue
-            i, c = np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)
-            if kind == KNOWN:
-                edge = [0, *np.cumsum(c).tolist()]
-                answer(i, [k[a:z] for a, z in zip(edge, edge[1:], strict=False)], np.frombuffer(info, np.int64).reshape(len(i), -1) if info_width else None)
-            else:
-                keys.append(_long(k, width))
-                owner.append(np.repeat(i, c))
+        for batch in table.select(_SCHEMA.names[1:]).to_batches():
+            for kind, *cells in zip(*batch.columns, strict=True):
+                i, c, k, m, info = (memoryview(x.as_buffer()).cast("B") for x in cells)  # no copies
+                if kind.as_py() == RUN:
+                    older += [_from_planes(k, width)] if len(k) else []
+                elif kind.as_py() == KNOWN:
+                    i, edge = np.frombuffer(i, np.int64), [0, *np.cumsum(np.frombuffer(c, np.uint32)).tolist()]
+                    answer(i, [k[a:z] for a, z in zip(edge, edge[1:], strict=False)], np.frombuffer(info, np.int64).reshape(len(i), -1) if info_width else None)
+                else:
+                    posted.append((i, c, k, m))
+        if posted:
+            edge = np.cumsum([0] + [len(k) // width for _, _, k, _ in posted]).tolist()
+            keys, owner, many = np.empty(edge[-1], U64), np.empty(edge[-1], np.int64), np.zeros(edge[-1], bool)
+            for a, z, (i, c, k, m) in zip(edge, edge[1:], posted, strict=False):
+                keys[a:z] = _long(k, width)
+                owner[a:z] = np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32))
                 if ask == "shared":
-                    many.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(k) // width).astype(bool))
-        if keys:
-            k, o = np.concatenate(keys), np.concatenate(owner)
-            order = np.argsort(k)
-            k, o = k[order], o[order]
-            start = _runs(k)
-            size = np.diff(np.append(start, len(k)))
-            if ask == "shared":
-                yes = ~np.concatenate(many)[order] & np.repeat(np.minimum.reduceat(o, start) < np.maximum.reduceat(o, start), size)
-            else:
-                mine, seen = k[start], np.zeros(len(start), bool)
-                for run in older:  # both sides are sorted
-                    at = np.minimum(np.searchsorted(run, mine), len(run) - 1)
-                    seen |= run[at] == mine
-                yes = (o > np.repeat(np.minimum.reduceat(o, start), size)) | np.repeat(seen, size)
-            bucket = table.column("bucket")[0].as_py()
-            if often is not None and (size >= often).any():
-                hot = k[start][size >= often] | U64(bucket) << U64(8 * width)
-                answers.append((None, None, None, None, None, bucket, np.stack([hot, size[size >= often].astype(U64)], axis=1).tobytes()))
+                    many[a:z] = np.unpackbits(np.frombuffer(m, np.uint8), count=z - a)
+            yes_k, yes_o, hot, fresh = [], [], [], []
+            for at in _ranges(keys, width):
+                k = keys[at]
+                order = np.argsort(k)
+                at, k = at[order], k[order]
+                o = owner[at]
+                start = _runs(k)
+                size = np.diff(np.append(start, len(k)))
+                seen = np.zeros(len(start), bool)
+                if ask == "shared":
+                    yes = ~many[at] & np.repeat(np.minimum.reduceat(o, start) < np.maximum.reduceat(o, start), size)
+                else:
+                    mine = k[start]
+                    for run in older:  # both sides are sorted
+                        place = np.minimum(np.searchsorted(run, mine), len(run) - 1)
+                        seen |= run[place] == mine
+                    yes = (o > np.repeat(np.minimum.reduceat(o, start), size)) | np.repeat(seen, size)
+                if often is not None and (size >= often).any():
+                    hot.append(np.stack([k[start][size >= often] | U64(bucket) << U64(8 * width), size[size >= often].astype(U64)], axis=1))
+                if make_run:
+                    fresh.append(k[start][~seen])
+                yes_k.append(k[yes])
+                yes_o.append(o[yes])
+            del keys, owner, many
+            if hot:
+                answers.append((None, None, None, None, None, bucket, np.concatenate(hot).tobytes()))
             if make_run:
-                answers.append((None, None, None, None, None, bucket, _planes(k[start][~seen], width)))
-            k, o = k[yes], o[yes]
+                answers.append((None, None, None, None, None, bucket, _planes(np.concatenate(fresh or [np.zeros(0, U64)]), width)))
+            k, o = np.concatenate(yes_k or [np.zeros(0, U64)]), np.concatenate(yes_o or [np.zeros(0, np.int64)])
+            del yes_k, yes_o
             order = np.argsort(o, kind="stable")
             k, o = k[order], o[order]
             head = bucket.to_bytes(4, "little")
             each = _spans(o)
             if each:
-                told = [(4 + width * (z - a)).to_bytes(4, "little") + head + _short(k[a:z], width) for a, z in each]
-                answer(o[[a for a, _ in each]], told, None)
-        columns = list(zip(*answers, strict=True)) or [()] * 7
-        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _ANSWER_SCHEMA, strict=True)], schema=_ANSWER_SCHEMA)
+                cells = [(4 + width * (z - a)).to_bytes(4, "little") + head + _short(k[a:z], width) for a, z in each]
+                answer(o[[a for a, _ in each]], cells, None)
+        return answers
+
+    def reduce(table: pa.Table) -> pa.Table:
+        columns = list(zip(*told(table), strict=True)) or [()] * 7
+        out = pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _ANSWER_SCHEMA, strict=True)], schema=_ANSWER_SCHEMA)
+        del columns
+        spare()
+        return out
 
     return rows.groupBy("bucket").applyInArrow(reduce, ANSWER)
 
@@ -272,6 +323,9 @@ def merged(answers: DataFrame, info_width: int = 0) -> DataFrame:
                 if info:
                     infos[x] = info[8 * info_width * j : 8 * info_width * (j + 1)]
         ids = sorted(told)
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array([b"".join(told[x]) for x in ids], pa.binary()), pa.array([infos.get(x) for x in ids], pa.binary())], schema=schema)
+        out = pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array([b"".join(told[x]) for x in ids], pa.binary()), pa.array([infos.get(x) for x in ids], pa.binary())], schema=schema)
+        del told, infos
+        spare()
+        return out
 
     return answers.where("part is not null").groupBy("part").applyInArrow(reduce, "id long, cells binary, info binary")

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexigrade.llm import hashing as H
 from lexigrade.llm.components import components
-from lexigrade.llm.exchange import answered, merged, packed, unpacked
+from lexigrade.llm.exchange import answered, merged, packed, spare, unpacked
 from lexigrade.llm.scratch import Scratch, buckets
 
 #: Classes from which a token is joined by blocks, and classes in a block.
@@ -102,6 +102,8 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [b.column(0), pa.array(info[:, 0], mask=info[:, 1] == 1), pa.array(info[:, 2]), pa.array(info[:, 3]), pa.array(cells, pa.binary()), pa.array([len(x) // 8 for x in cells], pa.int64())],
             names=["rid", "doc_id", "n", "set_hash", "tokens", "n_shared"],
         )
+        del cells
+        spare()
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -223,3 +224,35 @@ def test_near_vectors_of_odd_rows(spark):
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in cover_tree.near_vectors(spark.createDataFrame(rows, schema)).collect())
     assert got == [(1, 2, 1, True), (2, 0, 2, True), (3, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True)]
     assert cover_tree.near_vectors(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("ask", ["shared", "earlier"])
+def test_a_bucket_needs_little_memory(monkeypatch, ask):
+    """A few words a posting, and the same answers whatever the ranges."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    class Rows:
+        def groupBy(self, _):
+            return self
+
+        def applyInArrow(self, function, _):
+            return function
+
+    rng = np.random.default_rng(4)
+    posted = []
+    for flush in range(4):
+        keys = rng.integers(0, 1 << 63, 500_000, dtype=np.uint64) << np.uint64(1)
+        keys[:1000] = np.arange(1000, dtype=np.uint64) << np.uint64(40)
+        posted.append(exchange._pack([(np.arange(5000) + 5000 * flush, None, np.sort(rng.integers(0, 5000, len(keys))), keys, None)], 2, ask, 5))
+    table = pa.Table.from_batches(posted)
+    table = table.filter(pc.equal(table.column("bucket"), 0))
+    reduce = exchange.answered(Rows(), ask, 2, make_run=ask == "earlier", often=3)
+    tracemalloc.start()
+    got = reduce(table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50 * 1_000_000
+    assert any(r["part"] is not None for r in got.to_pylist())
+    monkeypatch.setattr(exchange, "RANGE", 1 << 40)
+    assert reduce(table).equals(got)
