@@ -256,3 +256,35 @@ def test_a_bucket_needs_little_memory(monkeypatch, ask):
     assert any(r["part"] is not None for r in got.to_pylist())
     monkeypatch.setattr(exchange, "RANGE", 1 << 40)
     assert reduce(table).equals(got)
+
+
+def test_near_vectors_without_structure_take_little_shuffle(spark):
+    """Uniform vectors, which no bound prunes, with links and a chain planted: shuffled bytes go with the vectors, not their pairs."""
+    rng = np.random.default_rng(9)
+    n, dim = 1500, 64
+    v = rng.normal(size=(n, dim)).astype("f4")
+    v[600:640] = v[:40] + rng.normal(size=(40, dim)).astype("f4") * 0.2
+    for k in range(1000, 1030):
+        v[k] = v[k - 1] + rng.normal(size=dim) * 0.3
+    v[1200:1205] = v[7]
+    table = spark.createDataFrame([(k, [float(x) for x in u]) for k, u in enumerate(v)], "vec_id long, embedding array<float>")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = written()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cover_tree.near_vectors(table, block=32).collect()}
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    label = np.arange(n)
+    for _ in range(40):
+        label = np.array([label[near[k]].min() for k in range(n)])
+    assert got == {k: (int(near[k].sum()) - 1, int(label[k])) for k in range(n)}
+    assert written() - before < 8 * v.nbytes
+
+
+def test_near_vectors_in_clusters(spark, monkeypatch):
+    """Few pairs of blocks: they meet by a shuffle."""
+    monkeypatch.setattr(cover_tree, "_met", None)
+    rng = np.random.default_rng(2)
+    v = np.repeat(np.eye(10), 24, axis=0) + rng.normal(size=(240, 10)) * 0.02
+    rows = [(k, [float(x) for x in u]) for k, u in enumerate(v)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in cover_tree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=20).collect())
+    assert got == [(k, 23, k // 24 * 24) for k in range(240)]
